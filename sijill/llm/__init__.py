@@ -4,13 +4,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, quality_rules
+from . import html_extract, license_scan, packing, quality_rules, secret_scan, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op5_secret_scan": secret_scan.op5_secret_scan,
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op8_simhash": simhash.op8_simhash,
+        "op10_html_extract": html_extract.op10_html_extract,
     }
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +43,28 @@ def hash_sample(df: DataFrame, key: str, bound: int, rows: int) -> DataFrame:
 def spread(df: DataFrame, rows_each: int = 2000, least: int = 12) -> int:
     """A number of partitions that follows a table already written: one for each ``rows_each`` rows."""
     return max(least, df.count() // rows_each)
+
+
+#: Rows that a Python function sees at once, whatever the size of the Arrow batch.
+SLICE = 256
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[..., list[list]]], schema: str) -> DataFrame:
+    """Runs make() once in each task, and what it returns on lists of the columns, slice by slice; it returns lists of the new columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, out = make(), arrow_schema(schema)
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                got = f(*(c.to_pylist() for c in batch.slice(k, SLICE).columns))
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(got, out.types, strict=True)], schema=out)
+
+    return df.mapInArrow(run, schema)
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    """Arrow's schema of 'name type, ...' with the types of ARROW."""
+    return pa.schema([(n, ARROW[t]) for n, t in (x.split() for x in schema.split(","))])
+
+
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
