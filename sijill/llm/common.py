@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,9 +40,9 @@ def hash_sample(df: DataFrame, key: str, bound: int, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(steps)) < int(steps * bound / rows))
 
 
-def spread(df: DataFrame, rows_each: int = 2000, least: int = 12) -> int:
-    """A number of partitions that follows a table already written: one for each ``rows_each`` rows."""
-    return max(least, df.count() // rows_each)
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition), but evaluated once above df's columns: pushed down, it would repeat the expressions it names."""
+    return df.withColumn("_late", F.rand(0)).where(condition & (F.col("_late") >= 0)).drop("_late")
 
 
 #: Rows that a Python function sees at once, whatever the size of the Arrow batch.

@@ -19,6 +19,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,18 +136,22 @@ def word_rates(docs: DataFrame, vocabulary: set[str], text_col: str = "text") ->
     return {w: c / total for w, c in n.items()}
 
 
+def _finders(docs: DataFrame, benchmark: DataFrame, text_col: str, block: int) -> Iterator[tuple]:
+    """For each block of test items a broadcast of (ids, word sequences, word rates)."""
+    blocks = max(1, -(-benchmark.count() // block))
+    for b in range(blocks):
+        own = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        items = sorted(((r["item_id"], words(r["text"])) for r in own.select(F.col("item_id").cast("long").alias("item_id"), "text").collect()), key=str)
+        sequences = [w for _, w in items]
+        rate = word_rates(docs, {w for s in sequences for w in s}, text_col)
+        yield docs.sparkSession.sparkContext.broadcast(([i for i, _ in items], sequences, rate))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """A row for each document and test item that it leaks: doc_id, item_id, score, start_word, end_word."""
-    rows = benchmark.count()
-    blocks = max(1, -(-rows // block))
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for b in range(blocks):
-        own = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        items = [(r["item_id"], words(r["text"])) for r in own.select(F.col("item_id").cast("long").alias("item_id"), "text").collect()]
-        ids, sequences = [i for i, _ in items], [w for _, w in items]
-        rate = word_rates(x, {w for s in sequences for w in s})
-        sent = docs.sparkSession.sparkContext.broadcast((ids, sequences, rate))
+    for sent in _finders(x, benchmark, "text", block):
 
         def make(sent=sent):
             names, sequences, rate = sent.value
@@ -163,5 +168,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, i
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """The rows of docs, as they are, that leak no test item."""
+    for sent in _finders(docs, benchmark, text_col, block):
+
+        @F.pandas_udf("boolean")
+        def leaky(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            _, sequences, rate = sent.value  # noqa: B023  pickled at once, below
+            finder = Finder(sequences, rate, threshold)
+            for texts in batches:
+                yield texts.map(lambda t: bool(finder.find(words(t)))).astype(bool)
+
+        docs = docs.where(~leaky(F.col(text_col)))
+    return docs
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

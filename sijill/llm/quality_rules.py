@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, read_table, write_table
+from .common import hash_sample, keep_where, read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
@@ -52,11 +52,12 @@ class Rule:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the counts of each text. A repeated word is one inside a window of eight words found twice or more."""
-    x = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """doc_id, the row itself as the struct ``row``, and the counts of its text. A repeated word is one inside a window of eight words found twice or more."""
+    x = docs.select(F.col(id_col).alias("doc_id"), F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     x = x.withColumn("w", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     x = x.select(
         "doc_id",
+        "row",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.size(F.split("text", r"[#*$%&|<>]", -1)) - 1).cast("long").alias("n_symbols"),
@@ -75,7 +76,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     x = x.withColumn("starts", F.sort_array(F.transform(F.filter("pairs", lambda p, k: (F.get("pairs", k - 1)["v"] == p["v"]) | (F.get("pairs", k + 1)["v"] == p["v"])), lambda p: p["i"])))
     steps = F.transform("starts", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("starts", k + 1) - p, F.lit(WINDOW))))
     repeats = F.coalesce(F.aggregate(steps, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long")
-    return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_upper", "n_exclaims", "n_lines", "n_dup_lines", repeats.alias("n_repeat_words"))
+    return x.select("doc_id", "row", "n_words", "word_chars", "n_symbols", "n_upper", "n_exclaims", "n_lines", "n_dup_lines", repeats.alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -142,12 +143,14 @@ def learn(rows: list[dict], most_rules: int = 16, most_terms: int = 4, cuts: int
     return out
 
 
-def fit(stats: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> list[Rule]:
+def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> list[Rule]:
     """Learns from about ``max_labels`` labelled rows, chosen by a hash of the id. Rows without a label or an id teach nothing."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = hash_sample(known, "doc_id", max_labels, known.count())
+    chosen = hash_sample(known, "doc_id", max_labels, known.count()).collect()
+    sample = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in chosen], "doc_id long, quality int")
+    some = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(3)) == 0
-    got = stats.join(chosen, "doc_id").select((F.col("quality") == 0).alias("bad"), fold.alias("fold"), F.col("doc_id"), *(F.expr(e).alias(f) for f, e in FEATURES.items()))
+    got = statistics(some).drop("row").join(F.broadcast(sample), "doc_id").select((F.col("quality") == 0).alias("bad"), fold.alias("fold"), F.col("doc_id"), *(F.expr(e).alias(f) for f, e in FEATURES.items()))
     return learn(sorted((r.asDict() for r in got.collect()), key=lambda r: tuple(r.values())))
 
 
@@ -161,8 +164,14 @@ def verdict(rules: list[Rule]) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> DataFrame:
     """Statistics, base_failed and kept of each row of docs."""
-    stats = write_table(statistics(docs), "quality")
-    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), verdict(fit(stats, labels, max_labels)).alias("kept"))
+    rules = fit(docs, labels, max_labels)
+    return statistics(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), verdict(rules).alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> DataFrame:
+    """The rows of docs, as they are, that the rules keep."""
+    judged = statistics(docs).select("row", verdict(fit(docs, labels, max_labels)).alias("kept"))
+    return keep_where(judged, F.col("kept")).select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,12 @@ executor, since trees of all fingerprints have no size bound. A shard gives one
 root of its group in the shard), so copies are never expanded into pairs. Shards over ``LARGE`` fingerprints are dealt anew
 by a third level of blocks. Components come from large-star and small-star rounds over the links.
 
+``keep_one`` deduplicates near copies proper: texts whose sets of five-word shingles have a similarity (Jaccard) of 0.8 or
+more, told from wide fingerprints of ``WIDE`` bits, whose Hamming distance estimates it closely enough. No blocks of bits
+could shard so wide a radius; there a shard is an anchor, one of the text's ``ANCHORS`` least shingle hashes, of which two
+such texts share one almost surely. A shard over ``PART`` fingerprints is cut into parts, and every two parts meet in a task of
+their own: one part makes the tree, the other sends the queries.
+
 Defined cases: null and empty texts have no words and fingerprint zero, linked like any other; fewer words than a shingle
 make one shingle; repeated rows give a row each; a null id takes part but cannot name a component (null if all are);
 an empty table gives an empty result; other columns are not looked at.
@@ -222,6 +228,119 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(joined, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+WIDE, WIDE_SHINGLE, ANCHORS, PART = 1024, 5, 4, 256
+#: Bits that fingerprints of similarity 0.8 differ in on average (0.151 of WIDE), and a standard error more.
+WIDE_RADIUS = 166
+
+
+def wide_fingerprint(text: str | None) -> tuple[bytes, list[int]]:
+    """The fingerprint of the set of shingles, and its anchors (signed). Each hash is spread to WIDE bits by a mixing function."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return bytes(WIDE // 8), [0]
+    n = WIDE_SHINGLE
+    parts = [b" ".join(w)] if len(w) < n else map(b" ".join, zip(*(w[k:] for k in range(n)), strict=False))
+    digest = xxhash.xxh64_digest
+    h = np.unique(np.frombuffer(b"".join([digest(s, SEED) for s in parts]), dtype=">u8").astype(np.uint64))
+    votes = np.zeros(WIDE, dtype=np.int64)
+    lanes = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(0, len(h), 255):
+        z = h[k : k + 255, None] + lanes
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        votes += np.unpackbits(z.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(h)).tobytes(), [signed(int(x)) for x in h[:ANCHORS]]
+
+
+def cross_links(tree: list[tuple[int, int]], queries: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
+    """Links (node, node) that connect what the tree's and the queries' (node, fingerprint) within the radius connect."""
+    grown, up = BKTree(), {}
+    for _, v in tree:
+        grown.add(v)
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for node, v in queries:
+        for i in grown.within(v, radius):
+            a, b = top(node), top(tree[i][0])
+            if a != b:
+                up[a] = b
+                out.append((node, tree[i][0]))
+    return out
+
+
+def _anchor_links(dealt: DataFrame, radius: int) -> DataFrame:
+    """Links of the shard parts in dealt, which is sorted by shard and by the parts that meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ([], [])
+
+        def emit():
+            a, b = sides
+            if key[1] == key[2]:
+                values = [v for _, v in a]
+                nodes = {v: n for n, v in a}
+                got = [(nodes[x], nodes[y]) for x, y in shard_links(values, radius)]
+            else:
+                got = cross_links(a, b, radius)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in got], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for anchor, i, j, part, node, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (anchor, i, j):
+                    if key and len(sides[0]) + len(sides[1]) > 1:
+                        yield emit()
+                    key, sides = (anchor, i, j), ([], [])
+                sides[0 if part == i else 1].append((node, int.from_bytes(fp, "big")))
+        if key and len(sides[0]) + len(sides[1]) > 1:
+            yield emit()
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def similar_groups(docs: DataFrame, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash and root (the group) of each row of docs, by wide fingerprints."""
+
+    def make():
+        def f(ids, hashes, texts):
+            got = [wide_fingerprint(t) for t in texts]
+            return [ids, hashes, [g[0] for g in got], [g[1] for g in got]]
+
+        return f
+
+    x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    prints = write_table(map_rows(x, make, "doc_id long, text_hash long, fp binary, anchors array<long>").withColumn("node", F.xxhash64("fp")), "wide")
+    classes = write_table(prints.groupBy("node").agg(F.min(F.struct("fp", "anchors")).alias("c")).select("node", "c.fp", "c.anchors"), "classes")
+    shards = classes.select(F.explode("anchors").alias("anchor"), "node", "fp")
+    sized = write_table(shards.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "shards")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    own = shards.join(sized, "anchor").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), parts).cast("int"))
+    met = own.select("anchor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"), "part", "node", "fp")
+    dealt = met.select("anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "fp")
+    found = components(write_table(_anchor_links(dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j"), radius).distinct(), "links"))
+    root = write_table(classes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
+    return prints.select("doc_id", "text_hash", "node").join(root, "node").select("doc_id", "text_hash", "root")
+
+
+def keep_one(docs: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """docs with one row of each group of near copies: the one of the least doc_id (null first), then of the least text hash."""
+    groups = write_table(similar_groups(docs, radius), "groups")
+    keepers = groups.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    copies = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n")).select(F.col("doc_id").alias("_id2"), F.col("text_hash").alias("_hash2"), "_n")
+    kept = write_table(keepers.join(copies, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))).select("_id", "_hash", "_n"), "kept")
+    x = docs.select(F.struct("*").alias("_row"), F.xxhash64("text").alias("_h"), F.col("doc_id").cast("long").alias("_d"))
+    x = x.join(kept, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    once = x.where("_n = 1").select("_row")
+    more = x.where("_n > 1").groupBy("_id", "_hash").agg(F.first("_row").alias("_row")).select("_row")
+    return once.unionByName(more).select("_row.*") if kept.where("_n > 1").limit(1).count() else once.select("_row.*")
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
