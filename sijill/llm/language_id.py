@@ -16,6 +16,7 @@ ties go to the alphabetically first language; repeated rows are predicted row by
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -168,6 +169,12 @@ class _Codes(dict):
         return "\0"
 
 
+@lru_cache(maxsize=2)
+def _parser(texts: tuple[tuple[str, str], ...]) -> Parser:
+    """One for each worker process and model."""
+    return Parser(dict(texts))
+
+
 def fit(docs: DataFrame, max_docs: int = 150, max_chars: int = 24_000) -> dict[str, str]:
     """Language to the text of its automaton: equal shares of each sampled document, spread over it."""
     known = docs.where(~held_out()).where("doc_id is not null and lang is not null and text is not null")
@@ -191,10 +198,10 @@ def fit(docs: DataFrame, max_docs: int = 150, max_chars: int = 24_000) -> dict[s
 
 def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(texts)
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted(texts.items())))
 
     def make():
-        parser, quick = Parser(sent.value), FastFold()
+        parser, quick = _parser(sent.value), FastFold()
 
         def f(ids, held, rows):
             names, scores = parser.predict(rows, quick)
