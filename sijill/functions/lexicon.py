@@ -63,6 +63,17 @@ BROKEN_MARKS = (("أرًزا", "أرزًا"), ("دعًما", "دعمًا"))
 LIST_VERBS = ("تتضمن", "شملت")
 HEADQUARTERS = "مقر الجمعية"
 AFTER_HEADQUARTERS = ("الفنادق", "الحملات", "حملات", "مسجد", "مصلى", "مصليات", "مستشفى", "غرفة", "ساحات", "المنطقة")
+#: What callers read in notes and warnings.
+SAID_MANY = "تم العثور على %s برامج/مشاريع؛ تمت تعبئة النموذج بـ «%s». عناصر أخرى: %s"
+SAID_NONE = "لم يتم العثور على برنامج/مشروع مؤكد في النص المستخرج؛ لم تتم تعبئة أي قيمة تخمينية."
+SAID_CUT = "استجابة النموذج كانت طويلة وتم قطعها؛ راجع الحقول قبل الحفظ."
+SAID_LONG = "المحتوى طويل (%s حرف)؛ تمت قراءة أول %s حرف فقط."
+SAID_UNREAD = "تعذر قراءة الملف %s: %s"
+SAID_EMPTY = "لم يُستخرج أي نص من الملف %s."
+EXTENSIONS = {".pdf": "pdf", ".docx": "docx", ".docm": "docx", ".doc": "doc", ".xlsx": "xlsx", ".xlsm": "xlsx", ".xls": "xls", ".csv": "csv", ".tsv": "tsv", ".txt": "text", ".md": "text", ".json": "json", ".pptx": "pptx", ".ppt": "ppt"}
+MIME_TYPES = {"application/pdf": "pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx", "application/msword": "doc", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx", "application/vnd.ms-excel": "xls", "text/csv": "csv", "text/tab-separated-values": "tsv", "text/plain": "text", "text/markdown": "text", "application/json": "json", "text/json": "json"}
+SUPPORTED = "PDF, Word (DOCX/DOC), Excel (XLSX/XLS), CSV/TSV, TXT/MD, JSON"
+RUN_TYPES = ("program_autofill", "program_extract", "extract_text")
 # -------------------------------------------------------------------------------------------------------------------
 
 DIACRITICS = "".join(chr(c) for a, b in DIACRITIC_RANGES for c in range(a, b + 1))

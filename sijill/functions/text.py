@@ -194,9 +194,9 @@ def detail_start(text: Column, n: Column) -> Column:
     return (text != "") & (text.rlike(r"(?U)^(?:[.\-]?\s*\d{1,2}\s*[.)\-:]|\d{1,2}\s+)") | text.rlike(r"(?U)[.\s]\d{1,2}$") | opens(n, lx.PLACES_WON))
 
 
-def title_score(text: Column, n: Column) -> Column:
-    """P10: how much a fragment looks like a title."""
-    t, w = squash(unbullet(text)), n_words(n)
+def title_score(t: Column, n: Column) -> Column:
+    """P10: how much a fragment, without bullets and in single blanks, looks like a title."""
+    w = n_words(n)
     score = (
         F.when(w <= 4, 5).when(w <= 8, 3).when(w <= 12, 1).otherwise(-6)
         + F.when(F.length(t) <= 90, 2).otherwise(0)
@@ -214,7 +214,7 @@ def project_title(raw: Column, following: Column) -> Column:
     s = without_numbering(raw)
     n = norm(s)
     parts = F.split(s, "[:：]")
-    tail = F.trim(F.element_at(parts, -1))
+    tail = squash(unbullet(F.element_at(parts, -1)))
     swapped = s.rlike("[:：]") & (tail != "") & (title_score(tail, norm(tail)) >= 1) & prose_like(F.element_at(parts, 1), norm(F.element_at(parts, 1)))
     own, more = squash(s), squash(F.coalesce(following, F.lit("")))
     title = F.when(more.startswith("(") & F.contains(more, F.lit(")")) & (F.length(more) <= 100) & ~F.contains(own, F.lit("(")), F.concat(own, F.lit(" "), more)).otherwise(own)
@@ -242,42 +242,55 @@ def ordinal_rank(raw: Column) -> Column:
 
 
 def standalone(raw: Column) -> Column:
-    """S5 as a struct: text, ok (an entity inside a list), program (it has a program noun), free (its type outside any list)."""
+    """S5 as a struct: text, ok (an entity inside a list), program (it has a program noun), free (its type outside any list), plausible."""
     text = title_text(raw)
     n = norm(text)
     program, project = begins(n, lx.PROGRAM_NOUNS), begins(n, lx.STRONG_PROJECT_NOUNS)
     later = text.rlike(r"(?U)\s\d{1,2}\s*[.]\s*(?:" + "|".join(lx.NUMBERED_NOUNS) + ")")
     ok = short_heading(text, n) & ~prose_like(text, n) & ~connector_prose(n) & ~n.rlike(r"^\d+$") & (tokens_among(n, ENTITY_NOUNS) <= 1) & ~later & ~equals(n, lx.GENERIC_HEADINGS)
     free = F.when(ok & program, F.when((n_words(n) <= 5) & ~n.rlike(r"\d"), "program")).when(ok & project, "project")
-    return F.struct(text.alias("text"), F.coalesce(ok, F.lit(False)).alias("ok"), program.alias("program"), free.alias("free"))
+    return F.struct(text.alias("text"), F.coalesce(ok, F.lit(False)).alias("ok"), program.alias("program"), free.alias("free"), plausible_name(text, n).alias("plausible"))
 
 
-def inline_pair(raw: Column, listed: bool) -> Column:
-    """S4 as a struct (title, desc), null if there is none: every colon, both ways round, the first of the best scores."""
+def scored_pairs(raw: Column) -> Column:
+    """S4's candidates: at every colon, both ways round, structs (k, base, bonus, long, title, desc); null without a colon."""
     text = squash(raw)
     at = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)).isin(":", "："))
     sides = F.transform(at, lambda i: F.struct(F.trim(F.substring(text, F.lit(1), i - 1)).alias("l"), F.trim(F.substring(text, i + 1, F.lit(100000))).alias("r")))
     both = F.flatten(F.transform(sides, lambda s: F.array(F.struct(s["l"].alias("title"), s["r"].alias("desc"), s["l"].alias("l"), s["r"].alias("r")), F.struct(s["r"].alias("title"), s["l"].alias("desc"), s["l"].alias("l"), s["r"].alias("r")))))
-    told = F.transform(both, lambda p: F.struct(p["title"].alias("title"), p["desc"].alias("desc"), norm(p["title"]).alias("tn"), norm(p["desc"]).alias("dn"), ((p["title"] == p["r"]) & connector_prose(norm(p["l"]))).alias("tail")))
-    fair = F.filter(told, lambda p: (p["title"] != "") & ~connector_prose(p["tn"]) & ~(p["tail"] & ~entity_noun(p["tn"])))
+    told = F.transform(both, lambda p, k: F.struct(k.alias("k"), p["title"].alias("title"), squash(unbullet(p["title"])).alias("flat"), p["desc"].alias("desc"), norm(p["title"]).alias("tn"), norm(p["desc"]).alias("dn"), norm(p["l"]).alias("ln"), (p["title"] == p["r"]).alias("tail")))
+    seen = F.transform(told, lambda p: F.struct(p["k"].alias("k"), p["title"].alias("title"), p["flat"].alias("flat"), p["desc"].alias("desc"), p["tn"].alias("tn"), p["dn"].alias("dn"), ((p["title"] != "") & ~connector_prose(p["tn"]) & ~(p["tail"] & connector_prose(p["ln"]) & ~entity_noun(p["tn"]))).alias("fair")))
 
-    def scored(p: Column, k: Column) -> Column:
-        base = title_score(p["title"], p["tn"])
-        bonus = F.when((p["desc"] != "") & (prose_like(p["desc"], p["dn"]) | (n_words(p["dn"]) >= 5)), 2).otherwise(0)
+    def scored(p: Column) -> Column:
+        return F.struct(
+            (-p["k"]).alias("k"),
+            title_score(p["flat"], p["tn"]).alias("base"),
+            F.when((p["desc"] != "") & (prose_like(p["desc"], p["dn"]) | (n_words(p["dn"]) >= 5)), 2).otherwise(0).alias("bonus"),
+            (~entity_noun(p["tn"]) & (n_words(p["tn"]) > 5)).alias("long"),
+            title_text(p["title"]).alias("title"),
+            F.nullif(p["desc"], F.lit("")).alias("desc"),
+        )
+
+    return F.when(text.rlike("[:：]"), F.transform(F.filter(seen, lambda p: p["fair"]), scored))
+
+
+def best_pair(scored: Column, listed: bool) -> Column:
+    """The first of the best candidates as a struct (title, desc), null if none is good enough."""
+
+    def total(p: Column) -> Column:
+        score = p["base"]
         if listed:
-            base = F.when(base >= 0, base + 3 + F.when(~entity_noun(p["tn"]) & (n_words(p["tn"]) > 5), -8).otherwise(0)).otherwise(base)
-        return F.struct((base + bonus).alias("score"), (-k).alias("k"), title_text(p["title"]).alias("title"), F.nullif(p["desc"], F.lit("")).alias("desc"))
+            score = F.when(score >= 0, score + 3 - 8 * p["long"].cast("int")).otherwise(score)
+        return F.struct((score + p["bonus"]).alias("score"), p["k"].alias("k"), p["title"].alias("title"), p["desc"].alias("desc"))
 
-    best = F.array_max(F.transform(fair, scored))
+    best = F.array_max(F.transform(scored, total))
     ok = (best["score"] >= (1 if listed else 4)) & (best["title"] != "") & (F.length(best["title"]) <= 180)
-    return F.when(text.rlike("[:：]"), F.when(ok, F.struct(best["title"].alias("title"), best["desc"].alias("desc"))))
+    return F.when(ok, F.struct(best["title"].alias("title"), best["desc"].alias("desc")))
 
 
-def parallel_cells(raw: Column) -> Column:
-    """The titles of a row 'A | B | …' inside a list, as structs (text, program); null unless all cells qualify."""
-    cells = F.transform(F.filter(F.transform(F.split(raw, r"\|"), squash), lambda c: c != ""), standalone)
-    ok = F.size(cells).between(2, 8) & F.forall(cells, lambda e: e["ok"] & plausible_name(e["text"], norm(e["text"])))
-    return F.when(F.contains(raw, F.lit("|")), F.when(ok, F.transform(cells, lambda e: F.struct(e["text"].alias("text"), e["program"].alias("program")))))
+def row_cells(raw: Column) -> Column:
+    """The cells of a row 'A | B | …' that hold something."""
+    return F.when(F.contains(raw, F.lit("|")), F.filter(F.transform(F.split(raw, r"\|"), squash), lambda c: c != "")).otherwise(F.array().cast("array<string>"))
 
 
 # ---------------------------------------------------------------- display
