@@ -10,7 +10,7 @@ EASTERN_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 WESTERN_DIGITS = "01234567890123456789"
 TATWEEL = "ـ"
 DIACRITIC_RANGES = ((0x610, 0x61A), (0x64B, 0x65F), (0x670, 0x670), (0x6D6, 0x6ED))
-BIDI_CONTROLS = "‎‏‪‫‬‭‮⁦⁧⁨⁩﻿"
+BIDI_CONTROLS = "\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069\ufeff"
 BULLETS = "*•-–— "
 TITLE_EDGES = " :：.-–—"
 

@@ -45,6 +45,11 @@ def squash(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """No white space at the ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+
+
 def strip_chars(c: Column, chars: str) -> Column:
     return F.trim(c, F.lit(chars))
 
@@ -296,7 +301,7 @@ def row_cells(raw: Column) -> Column:
 # ---------------------------------------------------------------- display
 def display(c: Column) -> Column:
     """Repair of spacing and of words that character recognition broke; blank becomes null."""
-    marks = r"[ؐ-ًؚ-ٰٟۖ-ۭ]+"
+    marks = r"[\u0610-\u061A\u064B-\u065F\u0670\u06D6-\u06ED]+"
     s = F.regexp_replace(F.replace(nfkc(c), F.lit(lx.TATWEEL), F.lit("")), rf"(?U)(^|\s){marks}", "$1")
     for broken, whole in lx.BROKEN_WORDS:
         s = F.regexp_replace(s, broken.replace(" ", r"(?U)\s+"), whole)

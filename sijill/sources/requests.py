@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sijill.functions import lexicon as lx
+from sijill.functions import text as tx
 from sijill.options import Options
 
 NAMES, DATA = ("name", "filename", "file_name", "fileName"), ("data", "base64", "content", "file_base64")
@@ -30,7 +31,7 @@ def field(v: Column, key: str) -> Column:
 
 def text_of(v: Column) -> Column:
     """A string that is not blank, stripped; null for anything else."""
-    return F.when(kind_of(v) == "STRING", F.nullif(F.trim(F.try_variant_get(v, "$", "string")), F.lit("")))
+    return F.when(kind_of(v) == "STRING", F.nullif(tx.strip(F.try_variant_get(v, "$", "string")), F.lit("")))
 
 
 def first_text(v: Column, keys) -> Column:
