@@ -4,7 +4,7 @@ Words become their rank in one global order (document frequency in the corpus, r
 vocabulary). A block matches a template when it holds at least ``threshold`` of the template's distinct words. Only blocks
 that pass the prefix filter (one of the template's |T| - need + 1 rarest words), the length filter and the positional filter
 are counted out, and none that matches can fail those. Blocks are overlapping windows of words in two sizes, so a copy of a
-template lies whole in one of them whatever the line breaks. Templates are a constant of the library, hence bounded; they
+template lies whole in one of them whatever the line breaks. A template whose words all belong to a wider one gives way to it. Templates are a constant of the library, hence bounded; they
 travel as literals and each row is joined where it is read, without a shuffle.
 
 Defined cases: a null text is empty: no words, no labels, score 0, null positions; an empty table gives an empty result;
@@ -14,6 +14,7 @@ repeated rows are scanned row by row; columns other than the id and the text are
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,19 @@ TEMPLATES = (
 )
 
 
+@dataclass(frozen=True)
+class Template:
+    """A template's words as ranks in the global order, and how many of them a block must hold."""
+
+    label: str
+    ranks: list[int]
+    need: int
+
+    @property
+    def prefix(self) -> list[int]:
+        return self.ranks[: len(self.ranks) - self.need + 1]
+
+
 def words(text: Column) -> Column:
     """Words after lower-casing A-Z. lower() also folds other letters, none of them to a word of the templates but for the Kelvin sign, which is replaced first."""
     return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("ĸ"))), F.lit(WORD), F.lit(0))
@@ -77,13 +91,13 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     sets = [(label, sorted(set(text.split()))) for label, text in templates]
     order = global_order(x, sorted({w for _, s in sets for w in s}))
     rank = {w: k + 1 for k, w in enumerate(order)}
-    by_scale: dict[int, list[tuple[str, list[int], int]]] = {s: [] for s in SCALES}
+    by_scale: dict[int, list[Template]] = {s: [] for s in SCALES}
     for label, s in sets:
         scale = next((h for h in SCALES if len(s) <= h), None)
         if scale is None:
             raise ValueError(f"a template may have {SCALES[-1]} distinct words at most")
-        by_scale[scale].append((label, sorted(rank[w] for w in s), math.ceil(threshold * len(s) - 1e-9)))
-    prefixes = sorted({r for ts in by_scale.values() for _, t, need in ts for r in t[: len(t) - need + 1]})
+        by_scale[scale].append(Template(label, sorted(rank[w] for w in s), math.ceil(threshold * len(s) - 1e-9)))
+    prefixes = sorted({r for ts in by_scale.values() for t in ts for r in t.prefix})
 
     x = x.withColumn("n_words", F.size("words").cast("long"))
     near = F.col("n_words") > 0
@@ -93,7 +107,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     })
     x = x.withColumn("ranks", F.when(F.col("seen"), F.transform("words", lambda w: F.array_position(_strings(order), w).cast("int"))))
     x = x.withColumns({f"blocks{h}": F.when(F.col("seen"), _blocks(h)) for h in SCALES})
-    x = x.withColumn("found", F.when(F.col("seen"), F.concat(*(_matches(f"blocks{h}", t) for h, ts in by_scale.items() for t in ts))))
+    x = x.withColumn("found", F.when(F.col("seen"), F.concat(*(_matches(f"blocks{h}", t, [b for b in ts if set(t.ranks) < set(b.ranks)]) for h, ts in by_scale.items() for t in ts))))
     flat = F.flatten("places")
     base = F.array_sort(F.array_compact(F.array(*(F.when(F.size(F.get("places", F.lit(k))) > 0, F.lit(label)) for k, (_, label, _) in enumerate(BASE)))))
     x = x.withColumns({"flat": F.coalesce(flat, F.array().cast("array<int>")), "base": base, "own": F.coalesce(F.transform("found", lambda m: m["label"]), F.array().cast("array<string>"))})
@@ -127,17 +141,20 @@ def _places(phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size("words") - 1), here)
 
 
-def _matches(blocks: str, template: tuple[str, list[int], int]) -> Column:
-    """Label and share of each block that holds enough of the template."""
-    label, ranks, need = template
-    t, prefix = F.array(*map(F.lit, ranks)), F.array(*map(F.lit, ranks[: len(ranks) - need + 1]))
+def _matches(blocks: str, template: Template, wider: list[Template]) -> Column:
+    """Label and share of each block that holds enough of the template, and not enough of a wider one."""
+    n = len(template.ranks)
+    t, prefix = F.array(*map(F.lit, template.ranks)), F.array(*map(F.lit, template.prefix))
 
     def may(b: Column) -> Column:
         first = F.array_min(F.array_intersect(b, prefix))
-        left = F.least(F.lit(len(ranks)) - F.array_position(t, first), F.size(b) - F.array_position(b, first)) + 1
-        return (F.size(b) >= need) & F.arrays_overlap(b, prefix) & (left >= need) & (F.size(F.array_intersect(b, t)) >= need)
+        left = F.least(F.lit(n) - F.array_position(t, first), F.size(b) - F.array_position(b, first)) + 1
+        out = (F.size(b) >= template.need) & F.arrays_overlap(b, prefix) & (left >= template.need) & (F.size(F.array_intersect(b, t)) >= template.need)
+        for w in wider:
+            out = out & (F.size(F.array_intersect(b, F.array(*map(F.lit, w.ranks)))) < w.need)
+        return out
 
-    return F.transform(F.filter(blocks, may), lambda b: F.struct(F.lit(label).alias("label"), (F.size(F.array_intersect(b, t)) / F.lit(float(len(ranks)))).alias("share")))
+    return F.transform(F.filter(blocks, may), lambda b: F.struct(F.lit(template.label).alias("label"), (F.size(F.array_intersect(b, t)) / F.lit(float(n))).alias("share")))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +163,9 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op1_sql() -> str:
     quoted = lambda s: "'" + s + "'"
-    rows = []
+    rows, sets = [], [set(text.split()) for _, text in TEMPLATES]
+    scale = [next(h for h in SCALES if len(s) <= h) for s in sets]
+    pairs = ", ".join(f"({i}, {j})" for i, a in enumerate(sets) for j, b in enumerate(sets) if a < b and scale[i] == scale[j])
     for k, (label, text) in enumerate(TEMPLATES):
         s = sorted(set(text.split()))
         rows += [f"({k}, {quoted(label)}, {next(h for h in SCALES if len(s) <= h)}, {len(s)}, {math.ceil(THRESHOLD * len(s) - 1e-9)}, {quoted(w)})" for w in s]
@@ -159,7 +178,9 @@ base AS ({phrases}),
 b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
 hit AS (SELECT pos.doc_id, t.tid, t.label, t.half, t.n, t.need, t.word, pos.i FROM pos JOIN t ON pos.ws[pos.i + 1] = t.word),
 blk AS (SELECT doc_id, tid, label, n, need, word, i // half AS block FROM hit UNION ALL SELECT doc_id, tid, label, n, need, word, i // half - 1 AS block FROM hit WHERE i >= half),
-m AS (SELECT doc_id, label, n, count(DISTINCT word) AS k FROM blk GROUP BY doc_id, tid, label, n, need, block HAVING count(DISTINCT word) >= need),
+every AS (SELECT doc_id, tid, label, n, block, count(DISTINCT word) AS k FROM blk GROUP BY doc_id, tid, label, n, need, block HAVING count(DISTINCT word) >= need),
+wider(tid, other) AS (VALUES {pairs}),
+m AS (SELECT * FROM every a WHERE NOT EXISTS (SELECT 1 FROM wider w JOIN every b ON b.tid = w.other WHERE w.tid = a.tid AND b.doc_id = a.doc_id AND b.block = a.block)),
 o AS (SELECT doc_id, label, max(k / n::DOUBLE) AS share FROM m GROUP BY doc_id, label),
 l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM o UNION ALL SELECT doc_id, label FROM base) GROUP BY doc_id),
 s AS (SELECT doc_id, max(share) AS share FROM o GROUP BY doc_id)

@@ -113,7 +113,9 @@ def _grow(pos: list[dict], neg: list[dict], cuts: dict[str, list[float]], most_t
                         best = (g, (f, at_least, t))
         if best[1] is None:
             break
-        terms.append(best[1])
+        f, at_least, t = best[1]
+        low, high = [r[f] for r in pos + neg if r[f] < t], [r[f] for r in pos + neg if r[f] >= t]
+        terms.append((f, at_least, (max(low) + min(high)) / 2 if low and high else t))  # the middle of the gap parts them alike
         r = Rule(tuple(terms[-1:]))
         pos, neg = [x for x in pos if r.fires(x)], [x for x in neg if r.fires(x)]
     return terms
