@@ -12,10 +12,11 @@ root of its group in the shard), so copies are never expanded into pairs. Shards
 by a third level of blocks. Components come from large-star and small-star rounds over the links.
 
 ``keep_one`` deduplicates near copies proper: texts whose sets of five-word shingles have a similarity (Jaccard) of 0.8 or
-more, told from wide fingerprints of ``WIDE`` bits, whose Hamming distance estimates it closely enough. No blocks of bits
-could shard so wide a radius; there a shard is an anchor, one of the text's ``ANCHORS`` least shingle hashes, of which two
-such texts share one almost surely. A shard over ``PART`` fingerprints is cut into parts, and every two parts meet in a task of
-their own: one part makes the tree, the other sends the queries.
+more. Wide fingerprints of ``WIDE`` bits, whose Hamming distance estimates the similarity, link within a radius that such texts
+seldom exceed; a check of the link follows, exact where both texts have ``SKETCH`` different shingles or fewer, else by their
+least ``SKETCH`` hashes. No blocks of bits could shard so wide a radius; there a shard is an anchor, one of the text's
+``ANCHORS`` least shingle hashes, of which two such texts share one almost surely. A shard over ``PART`` fingerprints is cut
+into parts, and every two parts meet in a group of their own: one part makes the tree, the other sends the queries.
 
 Defined cases: null and empty texts have no words and fingerprint zero, linked like any other; fewer words than a shingle
 make one shingle; repeated rows give a row each; a null id takes part but cannot name a component (null if all are);
@@ -229,15 +230,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 WIDE, WIDE_SHINGLE, ANCHORS, PART = 1024, 5, 4, 256
-#: Bits that fingerprints of similarity 0.8 differ in on average (0.151 of WIDE), and a standard error more.
-WIDE_RADIUS = 166
+#: Bits that fingerprints of similarity 0.8 differ in on average (0.151 of WIDE), and four standard errors more.
+WIDE_RADIUS = 200
+SKETCH, SIMILAR = 256, 0.8
+#: What sketches that are not whole sets may err by.
+SLACK = 0.015
 
 
-def wide_fingerprint(text: str | None) -> tuple[bytes, list[int]]:
-    """The fingerprint of the set of shingles, and its anchors (signed). Each hash is spread to WIDE bits by a mixing function."""
+def wide_fingerprint(text: str | None) -> tuple[bytes, list[int], bytes]:
+    """The fingerprint of the set of shingles, its anchors (signed) and its sketch. Each hash is spread to WIDE bits by a mixing function."""
     w = (text or "").encode().lower().split()
     if not w:
-        return bytes(WIDE // 8), [0]
+        return bytes(WIDE // 8), [0], b""
     n = WIDE_SHINGLE
     parts = [b" ".join(w)] if len(w) < n else map(b" ".join, zip(*(w[k:] for k in range(n)), strict=False))
     digest = xxhash.xxh64_digest
@@ -250,13 +254,30 @@ def wide_fingerprint(text: str | None) -> tuple[bytes, list[int]]:
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
         votes += np.unpackbits(z.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * votes > len(h)).tobytes(), [signed(int(x)) for x in h[:ANCHORS]]
+    return np.packbits(2 * votes > len(h)).tobytes(), [signed(int(x)) for x in h[:ANCHORS]], (h[: SKETCH + 1] >> np.uint64(32)).astype("<u4").tobytes()
 
 
-def cross_links(tree: list[tuple[int, int]], queries: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
-    """Links (node, node) that connect what the tree's and the queries' (node, fingerprint) within the radius connect."""
+def similar(a: bytes, b: bytes) -> bool:
+    """Are the sets behind two sketches similar enough? A sketch of over SKETCH hashes is not the whole set."""
+    x, y = np.unique(np.frombuffer(a, dtype="<u4")), np.unique(np.frombuffer(b, dtype="<u4"))
+    both = np.intersect1d(x, y, assume_unique=True)
+    if len(x) <= SKETCH and len(y) <= SKETCH:
+        n = len(x) + len(y) - len(both)
+        return not n or len(both) >= SIMILAR * n - 1e-9
+    least = np.union1d(x, y)[: min(k for k in (len(x), len(y)) if k > SKETCH)]
+    return np.isin(least, both, assume_unique=True).sum() >= (SIMILAR - SLACK) * len(least)
+
+
+Member = tuple[int, int, bytes]  # node, fingerprint, sketch
+
+
+def similar_links(tree: list[Member], queries: list[Member] | None, radius: int) -> list[tuple[int, int]]:
+    """Links (node, node) that connect what the tree's members and the queries within the radius connect, if similar.
+
+    Without queries the tree's members are looked up as the tree grows. What is connected already needs no check.
+    """
     grown, up = BKTree(), {}
-    for _, v in tree:
+    for _, v, _ in tree if queries is not None else ():
         grown.add(v)
 
     def top(x: int) -> int:
@@ -266,12 +287,15 @@ def cross_links(tree: list[tuple[int, int]], queries: list[tuple[int, int]], rad
         return x
 
     out = []
-    for node, v in queries:
+    for node, v, sketch in tree if queries is None else queries:
         for i in grown.within(v, radius):
-            a, b = top(node), top(tree[i][0])
-            if a != b:
+            other, _, its = tree[i]
+            a, b = top(node), top(other)
+            if a != b and similar(sketch, its):
                 up[a] = b
-                out.append((node, tree[i][0]))
+                out.append((node, other))
+        if queries is None:
+            grown.add(v)
     return out
 
 
@@ -282,22 +306,16 @@ def _anchor_links(dealt: DataFrame, radius: int) -> DataFrame:
         key, sides = None, ([], [])
 
         def emit():
-            a, b = sides
-            if key[1] == key[2]:
-                values = [v for _, v in a]
-                nodes = {v: n for n, v in a}
-                got = [(nodes[x], nodes[y]) for x, y in shard_links(values, radius)]
-            else:
-                got = cross_links(a, b, radius)
+            got = similar_links(sides[0], None if key[1] == key[2] else sides[1], radius)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in got], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
         for batch in batches:
-            for anchor, i, j, part, node, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for anchor, i, j, part, node, fp, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != (anchor, i, j):
                     if key and len(sides[0]) + len(sides[1]) > 1:
                         yield emit()
                     key, sides = (anchor, i, j), ([], [])
-                sides[0 if part == i else 1].append((node, int.from_bytes(fp, "big")))
+                sides[0 if part == i else 1].append((node, int.from_bytes(fp, "big"), sketch))
         if key and len(sides[0]) + len(sides[1]) > 1:
             yield emit()
 
@@ -310,19 +328,19 @@ def similar_groups(docs: DataFrame, radius: int = WIDE_RADIUS, id_col: str = "do
     def make():
         def f(ids, hashes, texts):
             got = [wide_fingerprint(t) for t in texts]
-            return [ids, hashes, [g[0] for g in got], [g[1] for g in got]]
+            return [ids, hashes, *([g[k] for g in got] for k in range(3))]
 
         return f
 
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    prints = write_table(map_rows(x, make, "doc_id long, text_hash long, fp binary, anchors array<long>").withColumn("node", F.xxhash64("fp")), "wide")
-    classes = write_table(prints.groupBy("node").agg(F.min(F.struct("fp", "anchors")).alias("c")).select("node", "c.fp", "c.anchors"), "classes")
-    shards = classes.select(F.explode("anchors").alias("anchor"), "node", "fp")
+    prints = write_table(map_rows(x, make, "doc_id long, text_hash long, fp binary, anchors array<long>, sketch binary").withColumn("node", F.xxhash64("fp", "sketch")), "wide")
+    classes = write_table(prints.groupBy("node").agg(F.min(F.struct("fp", "anchors", "sketch")).alias("c")).select("node", "c.*"), "classes")
+    shards = classes.select(F.explode("anchors").alias("anchor"), "node", "fp", "sketch")
     sized = write_table(shards.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "shards")
     parts = F.ceil(F.col("n") / PART).cast("int")
     own = shards.join(sized, "anchor").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), parts).cast("int"))
-    met = own.select("anchor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"), "part", "node", "fp")
-    dealt = met.select("anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "fp")
+    met = own.select("anchor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"), "part", "node", "fp", "sketch")
+    dealt = met.select("anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "fp", "sketch")
     found = components(write_table(_anchor_links(dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j"), radius).distinct(), "links"))
     root = write_table(classes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
     return prints.select("doc_id", "text_hash", "node").join(root, "node").select("doc_id", "text_hash", "root")

@@ -13,12 +13,12 @@ def prose(rng, n):
 
 def test_stages(spark, tmp_path):
     rng = random.Random(21)
-    item = " ".join(f"bench{rng.randrange(900)}" for _ in range(30))
-    clean = [prose(rng, 150) for _ in range(60)]
-    junk = [" ".join(w + "###" for w in prose(rng, 90).split()) for _ in range(30)]
+    item = " ".join(f"b{rng.randrange(900)}" for _ in range(30))
+    clean = [prose(rng, rng.randint(80, 200)) for _ in range(60)]
+    junk = [" ".join(w + "###" for w in prose(rng, rng.randint(80, 200)).split()) for _ in range(30)]
     copy = clean[0].split()
     copy[70] = "changed"
-    extra = [" ".join(copy), prose(rng, 60) + " " + item, prose(rng, 80) + ' token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end', None, "few words"]
+    extra = [" ".join(copy), prose(rng, 90) + " " + item, prose(rng, 120) + ' token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end', None, "few words"]
     texts = [*clean, *junk, *extra]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
