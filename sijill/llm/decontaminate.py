@@ -72,8 +72,8 @@ def seeds_of(items: list[list[str]], rate: dict[str, float], size: int = SEED) -
                 p *= rate.get(x, 0.0)
             grams.append((p, i))
         grams.sort()
-        for p, i in grams:
-            if p <= RARE or grams.index((p, i)) < LEAST_SEEDS:
+        for order, (p, i) in enumerate(grams):
+            if p <= RARE or order < LEAST_SEEDS:
                 out[tuple(w[i : i + size])].append((k, i))
     return dict(out)
 

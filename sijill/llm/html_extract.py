@@ -58,7 +58,8 @@ def _kind(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool
             article |= value in ("article", "main")
         elif name in ("class", "id"):
             parts = set(re.split(r"[^a-z]+", value))
-            own = bool(parts & BOILER_WORDS) and tag not in ("article", "main", "body", "html")
+            words = BOILER_WORDS - {"header"} if in_article or parts & ARTICLE_WORDS else BOILER_WORDS
+            own = bool(parts & words) and tag not in ("article", "main", "body", "html")
             boiler |= own or bool(parts & {"comment", "comments", "sponsored", "advert", "advertisement"})
             article |= not own and bool(parts & ARTICLE_WORDS) and tag in ("div", "section", "td")
     return boiler, article, hidden

@@ -347,7 +347,7 @@ def test_kneser_ney_prefers_its_own_words():
 # ------------------------------------------------------------------------------------------------ html
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a></li></ul></nav><!-- ad --><div class="ad">Buy now!</div>
-<article><h1>Title &amp; more</h1><p>First   para with <a href="x">a link</a> inside &eacute;.<p>Second<br>line<aside>Related stories here</aside>
+<article><div class="article-header"><h1>Title &amp; more</h1></div><p>First   para with <a href="x">a link</a> inside &eacute;.<p>Second<br>line<aside>Related stories here</aside>
 <form><label>Mail</label><input></form><ul><li>One</li><li>Two</li></ul><section class="comments"><p>I liked this article very much indeed, thanks for it.</p></section></article>
 <div id="cookie-notice">We use cookies</div><footer>&copy; x</footer>"""
 
