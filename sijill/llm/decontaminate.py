@@ -29,7 +29,7 @@ from .common import SLICE, map_rows, read_table
 WORD = re.compile(r"[^\W_]+")
 SEED = 3
 RARE = 1e-9
-LEAST_SEEDS = 8
+LEAST_SEEDS = 12
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK = 5000
@@ -71,8 +71,7 @@ def seeds_of(items: list[list[str]], rate: dict[str, float], size: int = SEED) -
             for x in w[i : i + size]:
                 p *= rate.get(x, 0.0)
             grams.append((p, i))
-        grams.sort()
-        for order, (p, i) in enumerate(grams):
+        for order, (p, i) in enumerate(sorted(g for g in grams if g[0] > 0)):  # what the corpus lacks a word of is found nowhere
             if p <= RARE or order < LEAST_SEEDS:
                 out[tuple(w[i : i + size])].append((k, i))
     return dict(out)
