@@ -12,10 +12,11 @@ root of its group in the shard), so copies are never expanded into pairs. Shards
 by a third level of blocks. Components come from large-star and small-star rounds over the links.
 
 ``keep_one`` deduplicates near copies proper: texts whose sets of five-word shingles have a similarity (Jaccard) of 0.8 or
-more, told from wide fingerprints of ``WIDE`` bits, whose Hamming distance estimates it closely enough. No blocks of bits
-could shard so wide a radius; there a shard is an anchor, one of the text's ``ANCHORS`` least shingle hashes, of which two
-such texts share one almost surely. A shard over ``PART`` fingerprints is cut into parts, and every two parts meet in a task of
-their own: one part makes the tree, the other sends the queries.
+more. Wide fingerprints of ``WIDE`` bits, whose Hamming distance estimates it, are searched within a radius that such texts
+hardly ever exceed; the whole sets of shingle hashes of the texts that this finds are then made and compared exactly. No blocks
+of bits could shard so wide a radius; there a shard is an anchor, one of the text's ``ANCHORS`` least shingle hashes, of which two
+such texts share one almost surely. A shard over ``PART`` fingerprints is cut into parts, and every two parts meet in a group of
+their own: one part makes the tree, the other sends the queries. A pair that shares several anchors counts in the least alone.
 
 Defined cases: null and empty texts have no words and fingerprint zero, linked like any other; fewer words than a shingle
 make one shingle; repeated rows give a row each; a null id takes part but cannot name a component (null if all are);
@@ -24,7 +25,7 @@ an empty table gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, read_table, write_table
+from .common import SLICE, arrow_schema, map_rows, read_table, write_table
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 LARGE = 2000
@@ -229,19 +230,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 WIDE, WIDE_SHINGLE, ANCHORS, PART = 1024, 5, 4, 256
-#: Bits that fingerprints of similarity 0.8 differ in on average (0.151 of WIDE), and a standard error more.
-WIDE_RADIUS = 166
+#: Bits that fingerprints of similarity 0.8 differ in on average (0.151 of WIDE), and four standard errors more.
+WIDE_RADIUS = 200
+#: Columns of the product that counts what sets share, at once.
+COLUMNS = 4096
 
 
-def wide_fingerprint(text: str | None) -> tuple[bytes, list[int]]:
-    """The fingerprint of the set of shingles, and its anchors (signed). Each hash is spread to WIDE bits by a mixing function."""
-    w = (text or "").encode().lower().split()
-    if not w:
-        return bytes(WIDE // 8), [0]
-    n = WIDE_SHINGLE
-    parts = [b" ".join(w)] if len(w) < n else map(b" ".join, zip(*(w[k:] for k in range(n)), strict=False))
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """The hashes of the set of shingles, in order."""
+    w, n = (text or "").encode().lower().split(), WIDE_SHINGLE
+    parts = ([b" ".join(w)] if w else []) if len(w) < n else map(b" ".join, zip(*(w[k:] for k in range(n)), strict=False))
     digest = xxhash.xxh64_digest
-    h = np.unique(np.frombuffer(b"".join([digest(s, SEED) for s in parts]), dtype=">u8").astype(np.uint64))
+    return np.unique(np.frombuffer(b"".join([digest(s, SEED) for s in parts]), dtype=">u8").astype(np.uint64))
+
+
+def set_node(h: np.ndarray) -> int:
+    """A set's name: signed."""
+    return signed(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+
+
+def wide_fingerprint(h: np.ndarray) -> tuple[bytes, list[int]]:
+    """The fingerprint of a set of shingle hashes, and its anchors (signed). Each hash is spread to WIDE bits by a mixing function."""
+    if not len(h):
+        return bytes(WIDE // 8), [0]
     votes = np.zeros(WIDE, dtype=np.int64)
     lanes = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(0, len(h), 255):
@@ -253,11 +264,51 @@ def wide_fingerprint(text: str | None) -> tuple[bytes, list[int]]:
     return np.packbits(2 * votes > len(h)).tobytes(), [signed(int(x)) for x in h[:ANCHORS]]
 
 
-def cross_links(tree: list[tuple[int, int]], queries: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
-    """Links (node, node) that connect what the tree's and the queries' (node, fingerprint) within the radius connect."""
-    grown, up = BKTree(), {}
-    for _, v in tree:
+Member = tuple[int, int, list[int]]  # node, fingerprint, anchors
+
+
+def candidates(tree: list[Member], queries: list[Member] | None, anchor: int, radius: int) -> set[int]:
+    """Nodes of the tree's members and the queries that have one within the radius, in pairs whose least common anchor this is.
+
+    Without queries the tree's members are looked up as the tree grows.
+    """
+    grown, found = BKTree(), set()
+    for _, v, _ in tree if queries is not None else ():
         grown.add(v)
+    for node, v, anchors in tree if queries is None else queries:
+        for i in grown.within(v, radius):
+            other, _, its = tree[i]
+            if not (node in found and other in found) and anchor == min(x for x in anchors if x in its):
+                found |= {node, other}
+        if queries is None:
+            grown.add(v)
+    return found
+
+
+def similar(xs: list[bytes], ys: list[bytes] | None = None) -> np.ndarray:
+    """Whether the similarity of each of xs with each of ys (of xs), sets of hashes, is 0.8 or more: exact at any size."""
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in (*xs, *(ys or ()))]
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    often = times[column] > 1
+    row, column = row[often], np.unique(column[often], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = int(column[-1]) + 1 if len(column) else 0
+    at = 0 if ys is None else len(xs)
+    shared = np.zeros((len(xs), len(sets) - at), dtype=np.int64)
+    for k in range(0, width, COLUMNS):
+        lo, hi = np.searchsorted(column, [k, k + COLUMNS])
+        m = np.zeros((len(sets), min(COLUMNS, width - k)), dtype=np.float32)
+        m[row[lo:hi], column[lo:hi] - k] = 1
+        shared += (m[: len(xs)] @ m[at:].T).astype(np.int64)
+    return 9 * shared >= 4 * (sizes[: len(xs), None] + sizes[None, at:])
+
+
+def similar_links(xs: list[tuple[int, bytes]], ys: list[tuple[int, bytes]] | None = None) -> list[tuple[int, int]]:
+    """Links (node, node) that connect what the pairs of similar ones of xs and ys (of xs) connect; members are (node, set)."""
+    up: dict[int, int] = {}
 
     def top(x: int) -> int:
         while up.setdefault(x, x) != x:
@@ -265,65 +316,82 @@ def cross_links(tree: list[tuple[int, int]], queries: list[tuple[int, int]], rad
             x = up[x]
         return x
 
-    out = []
-    for node, v in queries:
-        for i in grown.within(v, radius):
-            a, b = top(node), top(tree[i][0])
-            if a != b:
-                up[a] = b
-                out.append((node, tree[i][0]))
+    out, others = [], xs if ys is None else ys
+    for k, i in np.argwhere(similar([x for _, x in xs], None if ys is None else [y for _, y in ys])).tolist():
+        a, b = top(xs[k][0]), top(others[i][0])
+        if a != b:
+            up[a] = b
+            out.append((xs[k][0], others[i][0]))
     return out
 
 
-def _anchor_links(dealt: DataFrame, radius: int) -> DataFrame:
-    """Links of the shard parts in dealt, which is sorted by shard and by the parts that meet."""
+def _each_meeting(dealt: DataFrame, f: Callable[[tuple, list[tuple], list[tuple] | None], list[tuple]], schema: str) -> DataFrame:
+    """f over the shard parts that meet: (anchor, i, j) and the rest of the rows of part i and part j (none if they are one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sides = None, ([], [])
+        key, sides, out = None, ([], []), arrow_schema(schema)
 
         def emit():
-            a, b = sides
-            if key[1] == key[2]:
-                values = [v for _, v in a]
-                nodes = {v: n for n, v in a}
-                got = [(nodes[x], nodes[y]) for x, y in shard_links(values, radius)]
-            else:
-                got = cross_links(a, b, radius)
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in got], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            got = f(key, sides[0], None if key[1] == key[2] else sides[1])
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in got], type=t) for k, t in enumerate(out.types)], schema=out)
 
         for batch in batches:
-            for anchor, i, j, part, node, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (anchor, i, j):
-                    if key and len(sides[0]) + len(sides[1]) > 1:
-                        yield emit()
-                    key, sides = (anchor, i, j), ([], [])
-                sides[0 if part == i else 1].append((node, int.from_bytes(fp, "big")))
+            for k in range(0, batch.num_rows, SLICE):
+                for anchor, i, j, part, *rest in zip(*(c.to_pylist() for c in batch.slice(k, SLICE).columns), strict=True):
+                    if key != (anchor, i, j):
+                        if key and len(sides[0]) + len(sides[1]) > 1:
+                            yield emit()
+                        key, sides = (anchor, i, j), ([], [])
+                    sides[0 if part == i else 1].append(tuple(rest))
         if key and len(sides[0]) + len(sides[1]) > 1:
             yield emit()
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(run, schema)
+
+
+def _found(dealt: DataFrame, radius: int) -> DataFrame:
+    """The rows of dealt (anchor, i, j, part, node, fp, anchors) that the search finds, without fingerprints."""
+
+    def search(key, xs, ys):
+        xs, ys = ([(n, int.from_bytes(v, "big"), a) for n, v, a in side] if side is not None else None for side in (xs, ys))
+        got = candidates(xs, ys, key[0], radius)
+        return [(*key, part, n) for part, side in zip(key[1:], (xs, ys or []), strict=True) for n, _, _ in side if n in got]
+
+    return _each_meeting(dealt, search, "anchor long, i int, j int, part int, node long")
 
 
 def similar_groups(docs: DataFrame, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash and root (the group) of each row of docs, by wide fingerprints."""
+    """doc_id, text_hash and root (the group) of each row of docs: texts of similarity 0.8 or more share a root."""
 
     def make():
         def f(ids, hashes, texts):
-            got = [wide_fingerprint(t) for t in texts]
-            return [ids, hashes, [g[0] for g in got], [g[1] for g in got]]
+            sets = [shingle_hashes(t) for t in texts]
+            got = [wide_fingerprint(h) for h in sets]
+            return [ids, hashes, [set_node(h) for h in sets], [g[0] for g in got], [g[1] for g in got]]
+
+        return f
+
+    def make_sets():
+        def f(texts):
+            sets = [shingle_hashes(t) for t in texts]
+            return [[set_node(h) for h in sets], [h.tobytes() for h in sets]]
 
         return f
 
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    prints = write_table(map_rows(x, make, "doc_id long, text_hash long, fp binary, anchors array<long>").withColumn("node", F.xxhash64("fp")), "wide")
-    classes = write_table(prints.groupBy("node").agg(F.min(F.struct("fp", "anchors")).alias("c")).select("node", "c.fp", "c.anchors"), "classes")
-    shards = classes.select(F.explode("anchors").alias("anchor"), "node", "fp")
+    prints = write_table(map_rows(x, make, "doc_id long, text_hash long, node long, fp binary, anchors array<long>"), "wide")
+    classes = write_table(prints.groupBy("node").agg(F.min(F.struct("fp", "anchors", "text_hash")).alias("c")).select("node", "c.*"), "classes")
+    shards = classes.select(F.explode("anchors").alias("anchor"), "node", "fp", "anchors")
     sized = write_table(shards.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "shards")
     parts = F.ceil(F.col("n") / PART).cast("int")
     own = shards.join(sized, "anchor").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), parts).cast("int"))
-    met = own.select("anchor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"), "part", "node", "fp")
-    dealt = met.select("anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "fp")
-    found = components(write_table(_anchor_links(dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j"), radius).distinct(), "links"))
+    met = own.select("anchor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"), "part", "node", "fp", "anchors")
+    found = write_table(_found(met.select("anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "fp", "anchors"), radius), "found")
+    texts = write_table(classes.join(found.select("node").distinct(), "node", "left_semi").select("text_hash"), "found-texts")
+    sets = map_rows(x.join(texts, "text_hash", "left_semi").select("text"), make_sets, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    dealt = found.join(sets, "node").select("anchor", "i", "j", "part", "node", "hashes")
+    links = _each_meeting(dealt, lambda _, xs, ys: similar_links(xs, ys), "u long, v long")
+    found = components(write_table(links.distinct(), "links"))
     root = write_table(classes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
     return prints.select("doc_id", "text_hash", "node").join(root, "node").select("doc_id", "text_hash", "root")
 

@@ -325,6 +325,31 @@ def test_keep_one_of_near_copies(spark, monkeypatch):
     assert sh.keep_one(alone).count() == 30 and sh.keep_one(alone.limit(0)).count() == 0
 
 
+def plain_similarity(x, y):
+    a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (x.split(), y.split()))
+    return len(a & b), len(a | b)
+
+
+def test_similar_groups_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sh, "PART", 40)
+    monkeypatch.setattr(sh, "COLUMNS", 64, raising=False)
+    rng, texts, want = random.Random(31), [], []
+    for t in range(240):
+        n = (24, 60, 150, 400, 900)[t % 5]
+        aim = 0.70 + 0.2 * t / 239
+        w = [f"k{rng.randrange(10**6)}" for _ in range(n)]
+        k = round((n - 4) * (1 - aim) / (1 + aim))
+        texts += [" ".join(w), " ".join([*w[: n - k], *(f"z{rng.randrange(10**6)}" for _ in range(k))])]
+        both, of = plain_similarity(*texts[-2:])
+        want.append(5 * both >= 4 * of)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts += [f"{passage} " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(12 + k % 3)) for k in range(60)]
+    got = {r["doc_id"]: r["root"] for r in sh.similar_groups(table(spark, texts)).collect()}
+    assert [got[2 * t] == got[2 * t + 1] for t in range(240)] == want and 90 < sum(want) < 150
+    assert len({got[i] for i in range(480, 540)}) == 60
+    assert all(5 * both < 4 * of for both, of in (plain_similarity(x, y) for x, y in itertools.combinations(texts[480:], 2)))
+
+
 # ------------------------------------------------------------------------------------------------ toxicity
 def test_toxicity_on_rows_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
