@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
-A run of key characters that no fixed pattern covers is a secret when its log-likelihood ratio per character, random model
+What the fixed patterns leave of a run of key characters (before, between and after their spans) is a secret when its log-likelihood ratio per character, random model
 against ordinary model, is above a threshold. Both models are first-order over characters with add-one smoothing. They are
 trained from labelled samples: random strings drawn by a seeded generator over the usual key alphabets, and ordinary
 identifiers, which are the words of a bounded sample of the corpus (``max_docs`` documents, ``max_words`` words) and their
@@ -35,6 +35,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Holds every access and hex span whole.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Characters that are scored at least.
+LEAST = 16
 
 ORDINARY = "get set user name value index count total number string list table column response request handler manager service client server config default version update delete create insert select module package import export function method class object static public private http https www com org net html json data file path home usr local share lib bin tmp var log test example sample result error message status code type size length width height color background image link button label title header footer content".split()
 
@@ -100,6 +102,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
     return train([r["word"] for r in top.collect()])
 
 
+def _random(text: str, s: int, e: int, a: int, b: int, model: Model) -> bool:
+    """Is text[s:e] of the run text[a:b] random? A rest under LEAST characters must be so itself and with its neighbours in the run."""
+    if e - s < LEAST:
+        if not text[s:e].strip("+/_=-") or model.score(text[s:e]) <= model.threshold:
+            return False
+        s = max(a, min(s - (LEAST - e + s) // 2, b - LEAST))
+        e = max(e, s + LEAST)
+    return model.score(text[s:e]) > model.threshold
+
+
 def find(text: str | None, model: Model) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every span of the text, by start and kind; code points, end exclusive."""
     if not text:
@@ -116,11 +128,15 @@ def find(text: str | None, model: Model) -> list[tuple[int, int, str]]:
     out.sort()
     base, i, covered = len(out), 0, 0
     for a, b in runs:
+        left = []
+        at = max(a, covered)
         while i < base and out[i][0] < b:
+            left.append((at, out[i][0]))
             covered = max(covered, out[i][1])
+            at = max(at, covered)
             i += 1
-        if covered <= a and model.score(text[a:b]) > model.threshold:
-            out.append((a, b, 3))
+        left.append((at, b))
+        out += [(s, e, 3) for s, e in left if s < e and _random(text, s, e, a, b, model)]
     return [(a, b, KINDS[k]) for a, b, k in sorted(out)]
 
 
