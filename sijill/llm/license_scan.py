@@ -4,7 +4,9 @@ Words become their rank in one global order (document frequency in the corpus, r
 vocabulary). A block matches a template when it holds at least ``threshold`` of the template's distinct words. Only blocks
 that pass the prefix filter (one of the template's |T| - need + 1 rarest words), the length filter and the positional filter
 are counted out, and none that matches can fail those. Blocks are overlapping windows of words in two sizes, so a copy of a
-template lies whole in one of them whatever the line breaks. A template whose words all belong to a wider one gives way to it. Templates are a constant of the library, hence bounded; they
+template lies whole in one of them whatever the line breaks. A template whose words all belong to a wider one gives way to it in
+a block that both match, but where the narrower one stands apart: in a window of its own length without the wider one's further
+words, or in what the wider one's own windows leave of the block. OP1_SQL knows no places and lets it give way there too. Templates are a constant of the library, hence bounded; they
 travel as literals and each row is joined where it is read, without a shuffle.
 
 Defined cases: a null text is empty: no words, no labels, score 0, null positions; an empty table gives an empty result;
@@ -60,6 +62,7 @@ class Template:
     label: str
     ranks: list[int]
     need: int
+    length: int
 
     @property
     def prefix(self) -> list[int]:
@@ -88,15 +91,15 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     score is the largest share of a template's words found in a block that matches it, 1 where a base phrase stands, else 0.
     """
     x = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words"))
-    sets = [(label, sorted(set(text.split()))) for label, text in templates]
-    order = global_order(x, sorted({w for _, s in sets for w in s}))
+    sets = [(label, sorted(set(text.split())), len(text.split())) for label, text in templates]
+    order = global_order(x, sorted({w for _, s, _ in sets for w in s}))
     rank = {w: k + 1 for k, w in enumerate(order)}
     by_scale: dict[int, list[Template]] = {s: [] for s in SCALES}
-    for label, s in sets:
+    for label, s, length in sets:
         scale = next((h for h in SCALES if len(s) <= h), None)
         if scale is None:
             raise ValueError(f"a template may have {SCALES[-1]} distinct words at most")
-        by_scale[scale].append(Template(label, sorted(rank[w] for w in s), math.ceil(threshold * len(s) - 1e-9)))
+        by_scale[scale].append(Template(label, sorted(rank[w] for w in s), math.ceil(threshold * len(s) - 1e-9), length))
     prefixes = sorted({r for ts in by_scale.values() for t in ts for r in t.prefix})
 
     x = x.withColumn("n_words", F.size("words").cast("long"))
@@ -107,7 +110,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     })
     x = x.withColumn("ranks", F.when(F.col("seen"), F.transform("words", lambda w: F.array_position(_strings(order), w).cast("int"))))
     x = x.withColumns({f"blocks{h}": F.when(F.col("seen"), _blocks(h)) for h in SCALES})
-    x = x.withColumn("found", F.when(F.col("seen"), F.concat(*(_matches(f"blocks{h}", t, [b for b in ts if set(t.ranks) < set(b.ranks)]) for h, ts in by_scale.items() for t in ts))))
+    x = x.withColumn("found", F.when(F.col("seen"), F.concat(*(_matches(h, t, [b for b in ts if set(t.ranks) < set(b.ranks)]) for h, ts in by_scale.items() for t in ts))))
     flat = F.flatten("places")
     base = F.array_sort(F.array_compact(F.array(*(F.when(F.size(F.get("places", F.lit(k))) > 0, F.lit(label)) for k, (_, label, _) in enumerate(BASE)))))
     x = x.withColumns({"flat": F.coalesce(flat, F.array().cast("array<int>")), "base": base, "own": F.coalesce(F.transform("found", lambda m: m["label"]), F.array().cast("array<string>"))})
@@ -141,20 +144,41 @@ def _places(phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size("words") - 1), here)
 
 
-def _matches(blocks: str, template: Template, wider: list[Template]) -> Column:
-    """Label and share of each block that holds enough of the template, and not enough of a wider one."""
+def _matches(half: int, template: Template, wider: list[Template]) -> Column:
+    """Label and share of each block that holds enough of the template, and not enough of a wider one or the template apart from it."""
     n = len(template.ranks)
     t, prefix = F.array(*map(F.lit, template.ranks)), F.array(*map(F.lit, template.prefix))
 
-    def may(b: Column) -> Column:
-        first = F.array_min(F.array_intersect(b, prefix))
-        left = F.least(F.lit(n) - F.array_position(t, first), F.size(b) - F.array_position(b, first)) + 1
-        out = (F.size(b) >= template.need) & F.arrays_overlap(b, prefix) & (left >= template.need) & (F.size(F.array_intersect(b, t)) >= template.need)
+    def holds(words: Column, other: Template) -> Column:
+        return F.size(F.array_intersect(words, F.array(*map(F.lit, other.ranks)))) >= other.need
+
+    def alone(words: Column) -> Column:
+        out = holds(words, template)
         for w in wider:
-            out = out & (F.size(F.array_intersect(b, F.array(*map(F.lit, w.ranks)))) < w.need)
+            out = out & ~holds(words, w)
         return out
 
-    return F.transform(F.filter(blocks, may), lambda b: F.struct(F.lit(template.label).alias("label"), (F.size(F.array_intersect(b, t)) / F.lit(float(n))).alias("share")))
+    def apart(i: Column) -> Column:
+        raw = F.slice("ranks", i * half + 1, 2 * half)
+        starts = F.sequence(F.lit(0), F.size(raw) - 1)
+        window = lambda s, length: F.slice(raw, s + 1, length)
+        extra = F.array(*map(F.lit, sorted({r for w in wider for r in w.ranks} - set(template.ranks))))
+        own = F.exists(starts, lambda s: holds(window(s, template.length), template) & ~F.arrays_overlap(window(s, template.length), extra))
+
+        def places(w: Template) -> Column:
+            return F.transform(F.filter(starts, lambda s: holds(window(s, w.length), w)), lambda s: F.struct(s.alias("a"), (s + w.length).alias("b")))
+
+        taken = F.flatten(F.array(*map(places, wider)))
+        rest = F.filter(raw, lambda r, p: ~F.exists(taken, lambda m: (m["a"] <= p) & (p < m["b"])))
+        return own | alone(rest)
+
+    def may(b: Column, i: Column) -> Column:
+        first = F.array_min(F.array_intersect(b, prefix))
+        left = F.least(F.lit(n) - F.array_position(t, first), F.size(b) - F.array_position(b, first)) + 1
+        out = (F.size(b) >= template.need) & F.arrays_overlap(b, prefix) & (left >= template.need) & holds(b, template)
+        return out & (alone(b) | apart(i)) if wider else out
+
+    return F.transform(F.filter(f"blocks{half}", may), lambda b: F.struct(F.lit(template.label).alias("label"), (F.size(F.array_intersect(b, t)) / F.lit(float(n))).alias("share")))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

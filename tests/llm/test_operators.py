@@ -56,6 +56,18 @@ def test_license_scan_equals_sql(spark):
     assert by[11][2:5] == (2, 1, 5) and by[12][6] == "gpl-3" and by[13][6] == "cc-by-nc" and by[16][6] == "mit" and by[15][6] == ""
 
 
+def test_narrower_notices_that_stand_apart_are_kept(spark):
+    gpl, lgpl = "licensed under the GNU General Public License version 3", "licensed under the GNU Lesser General Public License version 3"
+    cases = [("Text is licensed under CC BY 4.0. Images are licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"), (f"the program is {gpl}, the library is {lgpl}", "gpl-3,lgpl-3"), ("Licensed under CC BY-SA 4.0", "cc-by-sa"), (f"all of it is {lgpl}", "lgpl-3")]
+    texts, want = [], []
+    for text, labels in cases:
+        for k in (0, 3, 9, 14):
+            texts.append("word " * k + text + " word" * 20)
+            want.append(labels)
+    got = {r["doc_id"]: r["labels"] for r in ls.license_scan(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 # ------------------------------------------------------------------------------------------------ quality rules
 def plain_statistics(text):
     w = re.findall(qr.WORD, text or "")
