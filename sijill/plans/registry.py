@@ -351,8 +351,9 @@ def items(spark, sf_dir):
 
 @query("discover_structure")
 def discover_structure(spark, sf_dir):
-    """S1 to S11."""
-    return structure.discover(settle(lines.line_table(reports(spark)), "lines"))
+    """S1 to S11, over all documents and the inline reports."""
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("document"))
+    return structure.discover(settle(lines.line_table(own.unionByName(reports(spark))), "lines"))
 
 
 @query("ground_records")

@@ -52,3 +52,12 @@ def test_streaming_intake_equals_batch(spark, tmp_path):
     intake.write_requests(intake.normalized(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = sorted((r["job"], r["text"], r["error"] is None) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("j0", None, False), ("j1", "t1", True), ("j2", "t2", True)]
+
+
+def test_discovery_reads_the_documents(spark, tmp_path):
+    text = registry.REPORTS[3][1]
+    spark.createDataFrame([(7, text), (8, None), (9, "plain words\n" * 300 + text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in registry.queries()["discover_structure"](spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["title"])
+    assert got["7"] == got["9"] == got["english"] and {"Youth Skills", "Family Support"} <= got["7"]
