@@ -1,17 +1,25 @@
 """Toxicity: class-conditional Kneser-Ney models, toxic against ordinary.
 
-The models are character n-grams over words (``^`` before, ``$`` after), so that stems show in whatever ending they come with.
-Each class has its own discounted counts from order ``ORDER`` down to ``OWN``; below that both back off to one shared
-distribution of continuation counts, so what is rare in both classes says little. A word's evidence is the difference of its
-two log-likelihoods over its length; a text's evidence is the mean of its words and its strongest words, whose weights a
-logistic regression learns from labelled texts that the n-gram counts did not see.
-
-Fitting reads a bounded sample of labelled rows (``max_toxic`` and ``max_ordinary``); only rows whose crc32(id) mod 4 is not 2
-teach. Scoring reads every whole text.
+Both models spell words (``^`` before, ``$`` after) with contexts of up to ``ORDER`` - 1 characters. At the highest order each
+class has its own counts, less ``OWN_DISCOUNT``; what that takes off goes to one backoff that the classes share: Kneser-Ney
+over the counts of both, raw at the top and continuation counts at every order below. So an expression that a class has seen
+only ``OWN_DISCOUNT`` times or fewer is as likely in one class as in the other, and says nothing.
+
+A toxic text is an ordinary one with toxic words in it: under the toxic hypothesis a word comes from the toxic model with
+probability ``SHARE``, else from the ordinary one. The evidence of a text is the difference of its two log-likelihoods over its
+number of words (``LEAST`` at least), or that of its worst window of ``WINDOW`` words if that is more, so that length does not
+dilute it. One logistic
+curve over log(evidence + 2 ``SHARE``), whose slope is not negative, makes it a probability; it is fitted to labelled rows by
+models that have not counted them (three folds), weighted to the shares that the classes have among the labelled rows.
+
+Fitting reads a bounded sample of labelled rows (``max_toxic``, ``max_ordinary``) and its ``max_words`` most frequent words; only
+rows whose crc32(id) mod 4 is not 2 teach. Words are counted on the executors; the driver gets counts, never texts. Scoring
+reads every whole text.
 
 Defined cases: a null or empty text, or one without words, gets the score of no evidence; without labelled rows of both
-classes every score is the share of toxic rows known (0 if none); repeated rows are scored row by row; columns other than
-id and text are not looked at.
+classes every score is the share of toxic rows known (0 if none); an empty table gives an empty result; repeated rows are
+scored row by row, and a document that is labelled twice counts as toxic if either label says so; columns other than id and
+text are not looked at.
 """
 
 from __future__ import annotations
@@ -19,206 +27,236 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_rows, read_table
+from .common import SLICE, hash_sample, map_rows, read_table, write_table
 
-ORDER, OWN, DISCOUNT = 6, 3, 0.75
+ORDER, OWN_DISCOUNT, DISCOUNT = 8, 2, 0.75
+SHARE, WINDOW, LEAST = 0.01, 400, 50
 WORD = re.compile(r"[^\W_]+")
 THRESHOLD = 0.3
-#: A word's characters that count at most; longer words are scored in parts of this length, so none is cut off.
-PART = 40
-#: Words whose evidence a task remembers at most.
+FOLDS = 3
+#: Words whose evidence a task remembers, and counts that it holds, at most.
 REMEMBERED = 500_000
-FEATURES = 5
+
+
+def words(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def spelled(word: str) -> list[str]:
+    """The n-grams that the word's characters are read in, longest contexts."""
+    s = f"^{word}$"
+    return [s[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(s))]
 
 
 @dataclass
 class Model:
-    """gram: log ratio of an n-gram seen; back: log ratio of the backoff weights of a context; weights: of the regression."""
+    """Log ratios, toxic against ordinary: gram, of n-grams that a class has seen often enough; back, of the backoff weights of contexts."""
 
     gram: dict[str, float]
     back: dict[str, float]
-    weights: list[float]
+    intercept: float = 0.0
+    slope: float = 0.0
     known: dict[str, float] = field(default_factory=dict, repr=False)
 
-    def char(self, context: str, c: str) -> float:
-        total, gram, back = 0.0, self.gram, self.back
-        while True:
-            r = gram.get(context + c)
-            if r is not None:
-                return total + r
-            if not context:
-                return total
-            total += back.get(context, 0.0)
-            context = context[1:]
-
     def word(self, w: str) -> float:
-        """Log-likelihood ratio of the word, by the mean of its characters and the square root of their number."""
-        s, total = f"^{w}$", 0.0
-        for i in range(1, len(s)):
-            total += self.char(s[max(0, i - ORDER + 1) : i], s[i])
-        return total / math.sqrt(len(s) - 1)
-
-    def features(self, text: str | None) -> list[float]:
-        known, v = self.known, []
-        for w in WORD.findall((text or "").lower()):
-            r = known.get(w)
-            if r is None:
-                r = max(self.word(w[k : k + PART]) for k in range(0, len(w), PART))
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[w] = r
-            v.append(r)
-        if not v:
-            return [0.0] * FEATURES
-        a = np.array(v)
-        top = np.sort(a)[-6:] if len(a) > 6 else np.sort(a)
-        top = np.concatenate([np.zeros(max(0, 6 - len(top))), np.maximum(top, 0)])
-        return [float(a.mean()), float(top[-1]), float(top[-2]), float(top[-3:].sum()), float(top.sum())]
+        """The log ratio of the word."""
+        r = self.known.get(w)
+        if r is None:
+            r = 0.0
+            for g in spelled(w):
+                x = self.gram.get(g)
+                r += self.back.get(g[:-1], 0.0) if x is None else x
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[w] = r
+        return r
+
+    def evidence(self, text: str | None) -> float:
+        """Difference of the log-likelihoods a word, of the text or its worst window."""
+        w = words(text)
+        if not w:
+            return 0.0
+        m = np.log1p(SHARE * np.expm1(np.minimum([self.word(x) for x in w], 30.0)))
+        total = np.concatenate([[0.0], np.cumsum(m)])
+        at = np.arange(0, max(1, len(w) - WINDOW // 2), WINDOW // 2)
+        ends = np.minimum(len(w), at + WINDOW)
+        return float(max(total[-1] / max(LEAST, len(w)), ((total[ends] - total[at]) / WINDOW).max()))
 
     def score(self, text: str | None) -> float:
-        w = self.weights
-        z = w[0] + sum(a * b for a, b in zip(w[1:], self.features(text), strict=False))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-
-
-def _counts(words: dict[str, int]) -> dict[str, int]:
-    out: dict[str, int] = defaultdict(int)
-    for w, n in words.items():
-        for k in range(0, len(w), PART):
-            s = f"^{w[k : k + PART]}$"
-            for i in range(1, len(s)):
-                for order in range(OWN, ORDER + 1):
-                    if i - order + 1 >= 0:
-                        out[s[i - order + 1 : i + 1]] += n
-                    else:
-                        out[s[: i + 1]] += n
-                        break
-    return out
-
-
-def language_models(toxic: dict[str, int], ordinary: dict[str, int]) -> Model:
-    """The two models as one table of log ratios, from word counts of the two classes."""
-    grams = [_counts(toxic), _counts(ordinary)]
-    totals, kinds = [], []
-    for g in grams:
-        t, k = defaultdict(int), defaultdict(int)
-        for s, n in g.items():
-            t[s[:-1]] += n
-            k[s[:-1]] += 1
-        totals.append(t)
-        kinds.append(k)
-    # shared continuation counts: in how many contexts of either class a shorter gram was seen
-    shared: dict[str, int] = defaultdict(int)
-    for s in grams[0].keys() | grams[1].keys():
-        if len(s) == OWN:
-            shared[s[1:]] += 1
-    shared_total, shared_kinds, single = defaultdict(int), defaultdict(int), defaultdict(int)
-    for s, n in shared.items():
-        shared_total[s[:-1]] += n
-        shared_kinds[s[:-1]] += 1
-        single[s[-1]] += 1
-    n_single = sum(single.values()) or 1
-
-    def pooled(context: str, c: str) -> float:
-        low = (single.get(c, 0) + 0.5) / (n_single + 0.5 * (len(single) + 1))
-        t = shared_total.get(context, 0)
-        if not t:
-            return low
-        return (max(shared.get(context + c, 0) - DISCOUNT, 0) + DISCOUNT * shared_kinds[context] * low) / t
-
-    known: list[dict[str, float]] = [{}, {}]
-
-    def p(cls: int, s: str) -> float:
-        if len(s) < OWN and not s.startswith("^"):
-            return pooled(s[:-1], s[-1])
-        got = known[cls].get(s)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.intercept + self.slope * math.log(self.evidence(text) + 2 * SHARE)))))
+
+
+class Shared:
+    """Kneser-Ney over raw counts of n-grams: continuation counts below the highest order."""
+
+    def __init__(self, raw: dict[str, int]):
+        low: dict[str, int] = defaultdict(int)
+        layer, seen = list(raw), set(raw)
+        while layer:
+            found = []
+            for g in layer:
+                if len(g) > 1:
+                    low[g[1:]] += 1
+                    if g[1:] not in seen:
+                        seen.add(g[1:])
+                        found.append(g[1:])
+            layer = found
+        self.orders = [(c, *self._contexts(c)) for c in (raw, low)]
+        self.n_chars = sum(len(g) == 1 for g in low) + 1
+        self.known: dict[tuple[str, bool], float] = {}
+
+    @staticmethod
+    def _contexts(counts: dict[str, int]) -> tuple[dict[str, int], dict[str, int]]:
+        total: dict[str, int] = defaultdict(int)
+        kinds: dict[str, int] = defaultdict(int)
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        return total, kinds
+
+    def p(self, gram: str, lower: bool = False) -> float:
+        """Of the last character after those before it."""
+        if not gram:
+            return 1 / self.n_chars
+        got = self.known.get((gram, lower))
         if got is None:
-            t = totals[cls].get(s[:-1], 0)
-            low = p(cls, s[1:]) if len(s) > 1 else pooled("", s)
-            got = low if not t else (max(grams[cls].get(s, 0) - DISCOUNT, 0) + DISCOUNT * kinds[cls][s[:-1]] * low) / t
-            known[cls][s] = got
+            counts, total, kinds = self.orders[lower]
+            n, below = total.get(gram[:-1], 0), self.p(gram[1:], True)
+            got = below if not n else (max(counts.get(gram, 0) - DISCOUNT, 0) + DISCOUNT * kinds[gram[:-1]] * below) / n
+            self.known[gram, lower] = got
         return got
 
-    def weight(cls: int, h: str) -> float:
-        t = totals[cls].get(h, 0)
-        return math.log(DISCOUNT * kinds[cls][h] / t) if t else 0.0
-
-    every = grams[0].keys() | grams[1].keys()
-    gram = {s: math.log(p(0, s) / p(1, s)) for s in every}
-    back = {h: weight(0, h) - weight(1, h) for h in totals[0].keys() | totals[1].keys()}
-    kept = {}
-    for s in sorted(every, key=len):  # what backing off gives as well is left out
-        h, c, total = s[:-1], s[-1], 0.0
-        while h:
-            total, h = total + back.get(h, 0.0), h[1:]
-            if h + c in kept:
-                total += kept[h + c]
-                break
-        if abs(gram[s] - total) > 0.02:
-            kept[s] = gram[s]
-    return Model(kept, {h: b for h, b in back.items() if abs(b) > 0.02}, [0.0] * (FEATURES + 1))
-
-
-def regression(rows: list[list[float]], toxic: list[int], ridge: float = 0.05, steps: int = 40) -> list[float]:
-    """Ridge-penalised logistic regression by Newton's method."""
-    x, y = np.column_stack([np.ones(len(rows)), np.array(rows)]), np.array(toxic, dtype=float)
-    w, penalty = np.zeros(x.shape[1]), np.eye(x.shape[1]) * ridge
-    penalty[0, 0] = 1e-6
-    for _ in range(steps):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (q * (1 - q) + 1e-9)[:, None]).T @ x + penalty, x.T @ (y - q) - penalty @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+
+class Counts:
+    """Counts of the n-grams of words by class (toxic, ordinary) and fold: what all models are made of."""
+
+    def __init__(self, listed: Iterable[tuple[str, list[int]]]):
+        """From words with their counts, the folds of toxic rows first."""
+        ids: dict[str, int] = {}
+        owner, gram, weight = [], [], []
+        for k, (w, n) in enumerate(listed):
+            weight.append(n)
+            for g in spelled(w):
+                owner.append(k)
+                gram.append(ids.setdefault(g, len(ids)))
+        self.grams = list(ids)
+        w, of = np.array(weight, dtype=np.int64).reshape(-1, 2 * FOLDS), np.array(owner, dtype=np.int64)
+        at = np.array(gram, dtype=np.int64)
+        self.n = np.array([np.bincount(at, weights=w[of, k], minlength=len(ids)) for k in range(2 * FOLDS)]).reshape(2, FOLDS, -1)
+        known: dict[str, int] = {}
+        self.context = np.array([known.setdefault(g[:-1], len(known)) for g in self.grams], dtype=np.int64)
+        self.contexts = list(known)
+        self.shared = Shared(dict(zip(self.grams, self.n.sum(axis=(0, 1)).astype(np.int64).tolist(), strict=True)))
+
+    def model(self, without: int | None = None) -> Model:
+        """The models of all folds but one. An n-gram that neither class has over OWN_DISCOUNT times differs by its context's backoff weights alone."""
+        n = self.n[:, [k for k in range(FOLDS) if k != without]].sum(axis=1)
+        often = np.flatnonzero(n.max(axis=0, initial=0) > OWN_DISCOUNT)
+        base, at = np.array([self.shared.p(self.grams[k]) for k in often]), self.context[often]
+        gram, weight = [], []
+        for own in n:
+            left, total = np.maximum(own - OWN_DISCOUNT, 0), np.maximum(np.bincount(self.context, weights=own, minlength=len(self.contexts)), 1)
+            weight.append(1 - np.bincount(self.context, weights=left, minlength=len(self.contexts)) / total)
+            gram.append(np.log(left[often] / total[at] + weight[-1][at] * base))
+        back = np.log(weight[0]) - np.log(weight[1])
+        return Model(dict(zip((self.grams[k] for k in often), (gram[0] - gram[1]).tolist(), strict=True)), {c: b for c, b in zip(self.contexts, back.tolist(), strict=True) if b})
+
+
+def calibrated(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope (not negative) of the weighted logistic curve over log(evidence + 2 SHARE), by Newton's method."""
+    x, y, w = np.log(np.asarray(evidence, dtype=float) + 2 * SHARE), np.asarray(toxic, dtype=float), np.asarray(weight, dtype=float)
+    share = min(max(float((w * y).sum() / max(w.sum(), 1e-9)), 1e-9), 1 - 1e-9)
+    flat = (math.log(share / (1 - share)), 0.0)
+    if not 0 < y.sum() < len(y):
+        return flat
+    a = np.column_stack([np.ones(len(x)), x])
+    b, ridge = np.array([flat[0], 0.0]), np.diag([1e-9, 1e-3])
+
+    def loss(b: np.ndarray) -> float:
+        z = a @ b
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() + b @ ridge @ b / 2)
+
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
+        step = np.linalg.solve((a * (w * q * (1 - q) + 1e-12)[:, None]).T @ a + ridge, a.T @ (w * (y - q)) - ridge @ b)
+        size = 1.0
+        while size > 1e-6 and loss(b + size * step) > loss(b):
+            size /= 2
+        b = b + size * step
+        if np.abs(size * step).max() < 1e-8:
             break
-    return w.tolist()
-
-
-def train(rows: list[tuple[int | None, str, int]]) -> Model:
-    """From (fold, text, toxic): folds 0 and 1 give the n-gram counts, fold 2 the regression's rows."""
-    words = (Counter(), Counter())
-    for fold, text, toxic in rows:
-        if fold != 2:
-            words[0 if toxic else 1].update(WORD.findall(text.lower()))
-    if not words[0] or not words[1] or len({t for f, _, t in rows if f == 2}) < 2:
-        share = sum(t for _, _, t in rows) / len(rows) if rows else 0.0
-        share = min(max(share, 1e-9), 1 - 1e-9)
-        return Model({}, {}, [math.log(share / (1 - share))] + [0.0] * FEATURES)
-    model = language_models(*words)
-    held = [(text, toxic) for fold, text, toxic in rows if fold == 2]
-    model.weights = regression([model.features(t) for t, _ in held], [y for _, y in held])
-    model.known.clear()
-    return model
+    return (float(b[0]), float(b[1])) if b[1] > 0 else flat
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary: int = 2000) -> Model:
-    known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def counted(sample: DataFrame, max_words: int) -> Counts:
+    """The counts of the sample's rows (toxic, fold, text). Each task adds up before it sends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            cols = [*zip(*counts, strict=True)] or [[]] * 2
+            out = pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(counts.values(), pa.int64())], names=["cell", "word", "n"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                for toxic, fold, text in zip(*(c.to_pylist() for c in batch.slice(k, SLICE).columns), strict=True):
+                    cell = fold if toxic else FOLDS + fold
+                    counts.update((cell, x) for x in words(text))
+                    if len(counts) >= REMEMBERED:
+                        yield flush()
+        yield flush()
+
+    cells = [F.sum(F.when(F.col("cell") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(2 * FOLDS)]
+    by_word = sample.select("toxic", "fold", "text").mapInArrow(run, "cell int, word string, n long").groupBy("word").agg(*cells, F.sum("n").alias("n"))
+    got = by_word.orderBy(F.desc("n"), "word").limit(max_words).toArrow()
+    return Counts([(w, n) for w, *n in zip(*(got[c].to_pylist() for c in ("word", *(f"n{k}" for k in range(2 * FOLDS)))), strict=True)])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary: int = 2000, max_words: int = 500_000) -> Model:
+    known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    chosen = None
-    for value, most in ((1, max_toxic), (0, max_ordinary)):
-        part = hash_sample(known.where(F.col("toxic") == value), "doc_id", most, n.get(value, 0))
-        chosen = part if chosen is None else chosen.unionByName(part)
-    sample = {r["doc_id"]: r["toxic"] for r in chosen.collect()}
-    if not sample:
-        return train([])
-    ids = docs.sparkSession.createDataFrame(list(sample.items()), "doc_id long, toxic int")
-    fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(3)).cast("int").alias("fold")
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", fold, "text", "toxic").collect()
-    return train([(r["fold"], r["text"], r["toxic"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))])
+    if not n.get(1) or not n.get(0):
+        return Model({}, {}, 30.0 if n.get(1) else -30.0)
+    chosen = hash_sample(known.where("toxic = 1"), "doc_id", max_toxic, n[1]).unionByName(hash_sample(known.where("toxic = 0"), "doc_id", max_ordinary, n[0]))
+    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen.collect()], "_id long, _toxic int")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(FOLDS)).cast("int")
+    x = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select(F.col("_toxic").alias("toxic"), fold.alias("fold"), "text")
+    sample = write_table(x, "labelled")
+    counts = counted(sample, max_words)
+    sent = docs.sparkSession.sparkContext.broadcast([(m.gram, m.back) for m in map(counts.model, range(FOLDS))])
+
+    def make():
+        models = [Model(*m) for m in sent.value]
+        return lambda toxic, folds, texts: [toxic, [models[k].evidence(t) for k, t in zip(folds, texts, strict=True)]]
+
+    seen = map_rows(sample.select("toxic", "fold", "text"), make, "toxic int, evidence double").collect()
+    model = counts.model()
+    if not seen:
+        return model
+    toxic = np.array([r["toxic"] for r in seen])
+    rows = {t: max(1, int((toxic == t).sum())) for t in (0, 1)}
+    model.intercept, model.slope = calibrated(np.array([r["evidence"] for r in seen]), toxic, np.array([n[t] / rows[t] * len(seen) / (n[0] + n[1]) for t in toxic.tolist()]))
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.gram, model.back, model.weights))
+    sent = docs.sparkSession.sparkContext.broadcast((model.gram, model.back, model.intercept, model.slope))
 
     def make():
         m = Model(*sent.value)
