@@ -1,18 +1,24 @@
 """HTML extraction: flat text blocks, classified by a decision tree over the word counts and link densities of neighbours.
 
-A page is cut into flat blocks at block-level tags. A block's features are its own, its predecessor's and its successor's word
-count and link density, and what its containers say: whether one is boilerplate by its tag, role, class or id, whether one is
-an article, and whether the page has an article at all. The tree is grown (Gini impurity) from a small labelled table below.
-
-Defined cases: null and empty html give an empty text; unclosed tags, comments and quotes run as far as browsers let them;
-repeated rows are extracted row by row; an empty table gives an empty result; other columns are not looked at.
+A page is cut into flat blocks at block-level tags, in time linear in its length. A block's features are its own, its
+predecessor's and its successor's word count and link density, then what stands around it: whether a container is
+boilerplate by its element or role, how a container is named (class or id), whether it is in an article, whether the page
+has an article elsewhere, and whether the block is a heading. The tree is grown (Gini impurity, ties to the text's own
+features) from the small labelled table below. Inside articles too it is neighbours that tell lists of links from prose, and
+a container's weak name from a part of the article that is called so.
+
+Defined cases: null and empty html give an empty text; unclosed tags, comments and quotes run as far as browsers let them, but
+a quote that is never closed quotes nothing; a link ends with the container that it was opened in; repeated rows are extracted
+row by row; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +34,19 @@ CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "thead", "tfoot", "td",
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 BOILER_TAGS = frozenset("nav footer aside form dialog menu search".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
-BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail footer foot header masthead topbar comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login register social share sharing related recommended recommendations trending popular widget widgets toolbar pagination pager skip legal copyright disclaimer form search".split())
+#: Words that name containers. A name says what its container is only if all its parts are such words or filling.
+STRONG = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead topbar comment comments commentlist disqus respond replies cookie cookies consent gdpr popup modal overlay newsletter subscribe signup share sharing social pagination pager".split())
+WEAK = frozenset("banner header foot rail aside reply discussion notice notices alert alerts subscription login register related recommended recommendations trending popular widget widgets toolbar skip legal copyright disclaimer form search promotion".split())
+FILLING = frozenset("site page global top bottom left right box bar container wrapper wrap inner outer area slot unit block section module list item items link links posts post buttons button thread the my main primary secondary".split())
 ARTICLE_WORDS = frozenset("article post entry story content main".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
+BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+TAG_BODY = re.compile(r"<(?:/?)(?:[a-zA-Z][^\s/>]*)(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+")
+MARKUP = re.compile(r"<[!?/a-zA-Z]")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
 
 
 @dataclass(slots=True)
@@ -41,145 +54,230 @@ class Block:
     text: str
     words: int
     links: float
+    named: int
     boiler: bool
     article: bool
     heading: bool
 
 
-def _kind(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
-    """Is the container boilerplate, an article, hidden?"""
-    boiler, article, hidden = tag in BOILER_TAGS or tag == "header" and not in_article, tag in ("article", "main"), False
+@dataclass(slots=True)
+class Open:
+    """An open element, with what holds of it and of those around it."""
+
+    tag: str
+    named: int
+    boiler: bool
+    article: bool
+    dropped: bool
+
+
+OUTSIDE = Open("", 0, False, False, False)
+
+
+def name_strength(token: str) -> int:
+    """2 where the name is made of boilerplate words, one of them strong; 1 with weak ones alone; 0 if any part is neither such a word nor filling."""
+    parts = [x for x in re.split(r"[^a-z]+", token.lower()) if x]
+    if not all(x in STRONG or x in WEAK or x in FILLING for x in parts):
+        return 0
+    return 2 if any(x in STRONG for x in parts) else int(any(x in WEAK for x in parts))
+
+
+def _opened(tag: str, attributes: str, around: Open) -> Open:
+    """The element that opens here. Inside an article a header is the article's own, and a weak id is an anchor."""
+    inside = around.article
+    boiler, article, hidden, named = tag in BOILER_TAGS or tag == "header" and not inside, tag in ("article", "main"), False, 0
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN_STYLE.search(value):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN_STYLE.search(value):
             hidden = True
         elif name == "role":
-            boiler |= value in BOILER_ROLES
-            article |= value in ("article", "main")
-        elif name in ("class", "id"):
-            parts = set(re.split(r"[^a-z]+", value))
-            words = BOILER_WORDS - {"header"} if in_article or parts & ARTICLE_WORDS else BOILER_WORDS
-            own = bool(parts & words) and tag not in ("article", "main", "body", "html")
-            boiler |= own or bool(parts & {"comment", "comments", "sponsored", "advert", "advertisement"})
-            article |= not own and bool(parts & ARTICLE_WORDS) and tag in ("div", "section", "td")
-    return boiler, article, hidden
+            boiler |= value.lower() in BOILER_ROLES
+            article |= value.lower() in ("article", "main")
+        elif name in ("class", "id") and tag not in ("article", "main", "body", "html"):
+            strength = max(map(name_strength, value.split()), default=0)
+            if not (strength == 1 and inside and name == "id"):
+                named = max(named, strength)
+            article |= not strength and tag in ("div", "section", "td") and bool(ARTICLE_WORDS & set(re.split(r"[^a-z]+", value.lower())))
+    return Open(tag, max(around.named, named), around.boiler or boiler, inside or article, around.dropped or hidden or tag in DROPPED)
+
+
+class Reader:
+    """Reads a page into blocks. The stack holds block-level elements and those with attributes; of each name it knows how many are open."""
+
+    def __init__(self) -> None:
+        self.out: list[Block] = []
+        self.stack: list[Open] = []
+        self.open: Counter[str] = Counter()
+        self.levels: list[int] = []  # places of block-level elements in the stack
+        self.text: list[str] = []
+        self.linked: list[str] = []
+        self.link: int | None = None  # the stack's height where the open link began
+        self.heading = False
+
+    def flush(self) -> None:
+        s = " ".join("".join(self.text).split())
+        if s:
+            n, top = s.count(" ") + 1, self.stack[-1] if self.stack else OUTSIDE
+            self.out.append(Block(s, n, min(1.0, len("".join(self.linked).split()) / n), top.named, top.boiler, top.article, self.heading))
+        self.text.clear()
+        self.linked.clear()
+        self.heading = False
+
+    def add(self, s: str) -> None:
+        if s and not (self.stack and self.stack[-1].dropped):
+            s = entities.unescape(s) if "&" in s else s
+            self.text.append(s)
+            if self.link is not None:
+                self.linked.append(s + " ")
+
+    def push(self, element: Open) -> None:
+        if element.tag in BLOCK:
+            self.levels.append(len(self.stack))
+        self.stack.append(element)
+        self.open[element.tag] += 1
+
+    def cut(self, height: int) -> None:
+        """Closes what stands at that height and above."""
+        while len(self.stack) > height:
+            self.open[self.stack.pop().tag] -= 1
+        while self.levels and self.levels[-1] >= height:
+            self.levels.pop()
+        if self.link is not None and height < self.link:
+            self.link = None
+
+    def end(self, tag: str) -> None:
+        if tag == "a":
+            self.link = None
+        if tag in BLOCK:
+            self.heading |= len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
+            self.flush()
+        if self.open[tag]:
+            height = len(self.stack) - 1
+            while self.stack[height].tag != tag:
+                height -= 1
+            self.cut(height)
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag == "a":
+            self.link = len(self.stack)
+        if tag in BLOCK:
+            self.flush()
+            if tag in CLOSES_P and self.levels and self.stack[self.levels[-1]].tag == "p":
+                self.cut(self.levels[-1])
+            elif tag in ("td", "th", "tr", "dd", "dt", "li") and self.stack and self.stack[-1].tag == tag:
+                self.cut(len(self.stack) - 1)
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
+            return
+        if tag in BLOCK or tag in DROPPED or attributes:
+            self.push(_opened(tag, attributes, self.stack[-1] if self.stack else OUTSIDE))
 
 
 def blocks(page: str) -> list[Block]:
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, boiler, article, dropped: of the container and those around it
-    text: list[str] = []
-    linked: list[str] = []
-    in_link = heading = False
-
-    def flush() -> None:
-        nonlocal heading
-        s = " ".join("".join(text).split())
-        if s:
-            n = s.count(" ") + 1
-            top = stack[-1] if stack else ("", False, False, False)
-            out.append(Block(s, n, min(1.0, len("".join(linked).split()) / n), top[1], top[2], heading))
-        text.clear()
-        linked.clear()
-        heading = False
-
-    def add(s: str) -> None:
-        if s and not (stack and stack[-1][3]):
-            s = entities.unescape(s) if "&" in s else s
-            text.append(s)
-            if in_link:
-                linked.append(s + " ")
-
-    at, end = 0, len(page)
-    while at < end:
-        m = TAG.search(page, at)
-        if not m:
-            add(page[at:])
+    r = Reader()
+    at, size, last, unquoted = 0, len(page), page.rfind(">"), 0
+    while at < size:
+        here = page.find("<", at)
+        if here < 0:
+            r.add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        r.add(page[at:here])
+        if page.startswith("<!--", here):
+            end = page.find("-->", here + 4)
+            at = size if end < 0 else end + 3
             continue
-        tag = tag.lower()
-        if closing:
-            if tag == "a":
-                in_link = False
-            if tag in BLOCK:
-                heading |= len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
-                flush()
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
+        if not MARKUP.match(page, here):
+            r.add("<")
+            at = here + 1
             continue
-        if tag == "br":
-            add(" ")
-            continue
-        if tag == "a":
-            in_link = True
-        if tag in BLOCK:
-            flush()
-            if tag in CLOSES_P and any(s[0] == "p" for s in stack):
-                depth = max(k for k, s in enumerate(stack) if s[0] == "p")
-                if not any(s[0] in BLOCK for s in stack[depth + 1 :]):
-                    del stack[depth:]
-            elif tag in ("td", "th", "tr", "dd", "dt", "li") and stack and stack[-1][0] == tag:
-                stack.pop()
-        if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
-            at = page.find(">", close.end()) + 1 or end if close else end
+        if here > last:  # the page ends inside a tag
+            break
+        if page.startswith(("<!", "<?"), here):
+            at = page.find(">", here) + 1
             continue
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
+        m = TAG.match(page, here) if here >= unquoted else BARE_TAG.match(page, here)
+        if m is None and here >= unquoted and (body := TAG_BODY.match(page, here)):
+            unquoted = body.end() + 1  # the quote there is never closed, or the page ends: from here to there quotes quote nothing
+            m = BARE_TAG.match(page, here)
+        if m is None:  # </ and no name: a comment
+            at = page.find(">", here) + 1
             continue
-        if tag in BLOCK or tag in DROPPED or attributes:
-            around = stack[-1] if stack else ("", False, False, False)
-            boiler, article, hidden = _kind(tag, attributes, around[2])
-            stack.append((tag, around[1] or boiler, around[2] or article, around[3] or hidden or tag in DROPPED))
-    flush()
-    return out
-
-
-FIELDS = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boiler", "article", "outside", "heading")
-
-#: The labelled table: the fields above, then 1 for main text. A page's blocks of its usual kinds, with and without containers.
-LABELLED = (
-    (9, 0.0, 0, 0.0, 60, 0.0, 0, 1, 0, 1, 1), (60, 0.0, 9, 0.0, 45, 0.0, 0, 1, 0, 0, 1), (3, 0.0, 60, 0.0, 45, 0.0, 0, 1, 0, 0, 1), (45, 0.1, 3, 0.0, 0, 0.0, 0, 1, 0, 0, 1),
-    (1, 0.0, 45, 0.0, 80, 0.0, 0, 1, 0, 0, 1), (4, 1.0, 45, 0.0, 80, 0.0, 0, 1, 0, 0, 1), (200, 0.02, 1, 0.0, 10, 0.0, 0, 1, 0, 0, 1), (6, 0.0, 200, 0.0, 3, 0.0, 0, 1, 0, 1, 1),
-    (12, 0.0, 6, 1.0, 12, 0.0, 0, 1, 0, 0, 1), (2, 0.0, 1, 1.0, 2, 0.0, 0, 1, 0, 0, 1), (15, 0.9, 20, 0.0, 30, 0.0, 0, 1, 0, 0, 1), (8, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 1),
-    (1, 0.0, 30, 0.0, 1, 1.0, 0, 1, 0, 0, 1), (40, 0.0, 9, 0.0, 2, 1.0, 0, 1, 0, 0, 1), (3, 0.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0, 1), (5, 0.5, 4, 0.6, 6, 0.9, 0, 1, 0, 0, 1), (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0, 1), (25, 0.0, 5, 1.0, 3, 1.0, 0, 1, 0, 1, 1),
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 12, 0.0, 1, 0, 1, 0, 0), (12, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0, 0),
-    (2, 1.0, 0, 0.0, 2, 1.0, 1, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 3, 1.0, 1, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 30, 0.0, 1, 0, 1, 0, 0), (7, 1.0, 9, 1.0, 8, 1.0, 1, 0, 1, 0, 0), (10, 0.1, 40, 0.0, 12, 0.0, 1, 0, 0, 0, 0), (2, 0.0, 45, 0.0, 30, 0.0, 1, 0, 1, 1, 0),
-    (18, 0.2, 60, 0.0, 3, 1.0, 1, 0, 1, 0, 0), (70, 0.0, 2, 0.0, 65, 0.0, 1, 0, 1, 0, 0), (65, 0.0, 70, 0.0, 14, 0.0, 1, 0, 0, 0, 0), (4, 0.0, 20, 0.0, 60, 0.0, 1, 0, 1, 0, 0), (1, 0.0, 4, 0.0, 1, 1.0, 1, 0, 1, 0, 0), (22, 0.0, 1, 0.0, 60, 0.0, 1, 0, 0, 0, 0),
-    (14, 0.0, 45, 0.0, 0, 0.0, 1, 0, 1, 0, 0), (40, 0.0, 45, 0.0, 30, 0.0, 1, 0, 1, 0, 0), (30, 0.0, 40, 0.0, 14, 0.0, 1, 1, 0, 0, 0), (60, 0.0, 45, 0.0, 50, 0.0, 1, 1, 0, 0, 0),
-    (50, 0.0, 60, 0.0, 12, 0.0, 1, 0, 0, 0, 0), (8, 0.0, 20, 0.0, 40, 0.0, 1, 1, 0, 1, 0), (100, 0.0, 80, 0.0, 90, 0.0, 1, 0, 0, 0, 0), (5, 0.0, 0, 0.0, 40, 0.0, 1, 0, 0, 1, 0),
-    (12, 0.0, 1, 1.0, 9, 0.0, 0, 0, 1, 0, 0), (35, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 0, 0), (20, 0.2, 0, 0.0, 9, 0.0, 0, 0, 1, 0, 0), (5, 1.0, 4, 1.0, 6, 1.0, 0, 0, 1, 0, 0), (80, 0.0, 45, 0.0, 14, 0.0, 0, 0, 1, 1, 0),
-    (60, 0.0, 9, 0.0, 45, 0.0, 0, 0, 0, 0, 1), (45, 0.05, 60, 0.0, 50, 0.1, 0, 0, 0, 0, 1), (30, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (25, 0.2, 30, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (40, 0.0, 50, 0.0, 5, 1.0, 0, 0, 0, 0, 1), (35, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0, 0, 1), (60, 0.1, 2, 0.0, 12, 0.0, 0, 0, 0, 0, 1), (18, 0.0, 30, 0.0, 20, 0.0, 0, 0, 0, 0, 1), (22, 0.0, 4, 0.0, 6, 0.5, 0, 0, 0, 0, 1),
-    (3, 1.0, 1, 1.0, 50, 0.0, 0, 0, 0, 0, 0), (2, 1.0, 50, 0.0, 60, 0.0, 0, 0, 0, 0, 0), (6, 1.0, 40, 0.0, 45, 0.0, 0, 0, 0, 0, 0), (4, 1.0, 60, 0.0, 70, 0.0, 0, 0, 0, 0, 0), (8, 0.9, 0, 0.0, 40, 0.0, 0, 0, 0, 0, 0),
-    (30, 0.0, 5, 0.0, 60, 0.0, 0, 0, 1, 0, 0), (25, 0.0, 60, 0.0, 50, 0.0, 0, 0, 1, 0, 0), (50, 0.0, 12, 0.0, 40, 0.0, 0, 0, 1, 0, 0), (1, 0.0, 0, 0.0, 90, 0.0, 0, 0, 1, 0, 0),
-    (9, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 1, 1), (6, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1, 1), (8, 0.0, 45, 0.0, 50, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 0, 1),
-    (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0, 0), (12, 1.0, 10, 1.0, 11, 1.0, 0, 0, 0, 0, 0), (20, 0.9, 3, 1.0, 4, 1.0, 0, 0, 0, 0, 0), (2, 0.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (4, 0.0, 2, 0.0, 3, 1.0, 0, 0, 0, 0, 0),
-    (30, 0.6, 20, 0.9, 12, 1.0, 0, 0, 0, 0, 0), (5, 0.5, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (6, 0.0, 4, 0.0, 3, 0.5, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 5, 0.8, 0, 0, 0, 1, 0),
+        at, tag = m.end(), m[2].lower()
+        if m[1]:
+            r.end(tag)
+        elif tag == "br":
+            r.add(" ")
+        else:
+            if tag in RAW:
+                if tag in BLOCK:
+                    r.flush()
+                close = RAW_END[tag].search(page, at)
+                at = page.find(">", close.end()) + 1 or size if close else size
+            else:
+                r.start(tag, m[3])
+    r.flush()
+    return r.out
+
+
+FIELDS = ("words", "links", "words_before", "links_before", "words_after", "links_after", "named", "boiler", "article", "outside", "heading")
+
+#: The labelled table, by what stands around a block: its words and link density, then those of its neighbours before and
+#: after (0 where there is none), whether it is a heading, and 1 for main text.
+IN_ARTICLE = (
+    (9, 0.0, 0, 0.0, 60, 0.0, 1, 1), (60, 0.0, 9, 0.0, 45, 0.0, 0, 1), (3, 0.0, 60, 0.0, 45, 0.0, 0, 1), (45, 0.1, 3, 0.0, 0, 0.0, 0, 1), (1, 0.0, 45, 0.0, 80, 0.0, 0, 1), (4, 1.0, 45, 0.0, 80, 0.0, 0, 1),
+    (200, 0.02, 1, 0.0, 10, 0.0, 0, 1), (6, 0.0, 200, 0.0, 3, 0.0, 1, 1), (12, 0.0, 6, 1.0, 12, 0.0, 0, 1), (2, 0.0, 1, 1.0, 2, 0.0, 0, 1), (15, 0.9, 20, 0.0, 30, 0.0, 0, 1), (8, 0.0, 0, 0.0, 0, 0.0, 0, 1),
+    (1, 0.0, 30, 0.0, 1, 1.0, 0, 1), (40, 0.0, 9, 0.0, 2, 1.0, 0, 1), (5, 0.5, 4, 0.6, 6, 0.4, 0, 1), (25, 0.0, 5, 1.0, 3, 1.0, 1, 1), (1, 0.0, 0, 0.0, 1, 0.0, 0, 1), (2, 0.0, 2, 0.0, 2, 0.0, 0, 1), (30, 0.4, 12, 1.0, 40, 0.0, 0, 1),
+    (6, 0.0, 40, 0.0, 4, 1.0, 0, 1), (10, 0.0, 60, 0.0, 2, 1.0, 0, 1), (3, 0.0, 1, 1.0, 1, 1.0, 0, 1), (5, 0.0, 50, 0.0, 3, 1.0, 1, 1), (4, 0.0, 30, 0.0, 5, 1.0, 0, 1), (9, 0.0, 2, 1.0, 0, 0.0, 0, 1), (12, 0.3, 8, 1.0, 0, 0.0, 0, 1), (2, 0.0, 45, 0.0, 0, 0.0, 0, 1),
+    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0), (1, 1.0, 60, 0.0, 1, 1.0, 0, 0), (3, 1.0, 2, 1.0, 45, 0.0, 0, 0), (7, 1.0, 9, 1.0, 8, 1.0, 0, 0), (2, 1.0, 3, 0.0, 2, 1.0, 0, 0), (5, 1.0, 6, 1.0, 0, 0.0, 0, 0),
 )
+IN_BOILERPLATE = (
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0), (1, 1.0, 1, 1.0, 12, 0.0, 0, 0), (12, 0.0, 1, 1.0, 9, 0.0, 0, 0), (3, 1.0, 2, 1.0, 30, 0.0, 0, 0), (7, 1.0, 9, 1.0, 8, 1.0, 0, 0), (10, 0.1, 40, 0.0, 12, 0.0, 0, 0),
+    (2, 0.0, 45, 0.0, 30, 0.0, 1, 0), (18, 0.2, 60, 0.0, 3, 1.0, 0, 0), (70, 0.0, 2, 0.0, 65, 0.0, 0, 0), (65, 0.0, 70, 0.0, 14, 0.0, 0, 0), (14, 0.0, 45, 0.0, 0, 0.0, 0, 0), (100, 0.0, 80, 0.0, 90, 0.0, 0, 0), (5, 0.0, 0, 0.0, 40, 0.0, 1, 0),
+    (60, 0.0, 45, 0.0, 50, 0.0, 0, 0), (40, 0.0, 60, 0.0, 45, 0.0, 0, 0), (35, 0.1, 40, 0.0, 40, 0.0, 0, 0), (45, 0.0, 50, 0.0, 42, 0.0, 0, 0), (30, 0.0, 0, 0.0, 0, 0.0, 0, 0),
+)
+#: In a container with a weak name, in an article: what is called so is left out but where its text reads on from prose to prose.
+WEAKLY_NAMED = (
+    (60, 0.0, 45, 0.0, 50, 0.0, 0, 1), (40, 0.0, 60, 0.0, 45, 0.0, 0, 1), (35, 0.1, 40, 0.0, 40, 0.0, 0, 1), (45, 0.0, 50, 0.0, 42, 0.0, 0, 1),
+    (12, 0.0, 45, 0.0, 50, 0.0, 0, 0), (18, 0.0, 60, 0.0, 3, 1.0, 0, 0), (3, 1.0, 2, 1.0, 60, 0.0, 0, 0), (6, 0.0, 45, 0.0, 30, 0.0, 1, 0), (20, 0.3, 60, 0.0, 0, 0.0, 0, 0), (2, 0.0, 40, 0.0, 1, 0.0, 0, 0), (9, 0.0, 4, 0.0, 30, 0.0, 0, 0),
+)
+OUTSIDE_THE_ARTICLE = (
+    (12, 0.0, 1, 1.0, 9, 0.0, 0, 0), (35, 0.0, 60, 0.0, 0, 0.0, 0, 0), (20, 0.2, 0, 0.0, 9, 0.0, 0, 0), (5, 1.0, 4, 1.0, 6, 1.0, 0, 0), (80, 0.0, 45, 0.0, 14, 0.0, 1, 0), (30, 0.0, 5, 0.0, 60, 0.0, 0, 0), (50, 0.0, 12, 0.0, 40, 0.0, 0, 0), (1, 0.0, 0, 0.0, 90, 0.0, 0, 0),
+)
+WITHOUT_ARTICLE = (
+    (60, 0.0, 9, 0.0, 45, 0.0, 0, 1), (45, 0.05, 60, 0.0, 50, 0.1, 0, 1), (30, 0.0, 5, 0.0, 0, 0.0, 0, 1), (25, 0.2, 30, 0.0, 40, 0.0, 0, 1), (20, 0.0, 0, 0.0, 0, 0.0, 0, 1), (40, 0.0, 50, 0.0, 5, 1.0, 0, 1), (35, 0.0, 3, 1.0, 4, 0.0, 0, 1), (60, 0.1, 2, 0.0, 12, 0.0, 0, 1),
+    (18, 0.0, 30, 0.0, 20, 0.0, 0, 1), (22, 0.0, 4, 0.0, 6, 0.5, 0, 1), (9, 0.0, 3, 1.0, 60, 0.0, 1, 1), (6, 0.0, 60, 0.0, 45, 0.0, 1, 1), (8, 0.0, 45, 0.0, 50, 0.0, 0, 1), (5, 0.0, 60, 0.0, 45, 0.0, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 0, 1), (1, 0.0, 0, 0.0, 2, 0.0, 1, 1), (2, 0.0, 1, 0.0, 3, 0.0, 0, 1),
+    (3, 0.0, 2, 0.0, 6, 0.0, 0, 1), (6, 0.0, 3, 0.0, 0, 0.0, 0, 1), (4, 0.0, 8, 0.0, 5, 0.0, 0, 1), (4, 1.0, 40, 0.0, 50, 0.0, 0, 1), (30, 0.0, 2, 1.0, 2, 1.0, 0, 1),
+    (3, 1.0, 1, 1.0, 50, 0.0, 0, 0), (2, 1.0, 50, 0.0, 2, 1.0, 0, 0), (8, 0.9, 0, 0.0, 40, 0.0, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 0), (12, 1.0, 10, 1.0, 11, 1.0, 0, 0), (20, 0.9, 3, 1.0, 4, 1.0, 0, 0), (2, 0.0, 3, 1.0, 3, 1.0, 0, 0), (4, 0.0, 2, 0.0, 3, 1.0, 0, 0), (30, 0.6, 20, 0.9, 12, 1.0, 0, 0),
+    (5, 0.5, 60, 0.0, 0, 0.0, 0, 0), (6, 0.0, 4, 0.0, 3, 0.5, 0, 0), (3, 0.0, 2, 1.0, 5, 0.8, 1, 0), (4, 0.0, 3, 1.0, 0, 0.0, 0, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 0), (3, 1.0, 60, 0.0, 0, 0.0, 0, 0), (2, 1.0, 0, 0.0, 0, 0.0, 0, 0), (1, 1.0, 0, 0.0, 60, 0.0, 0, 0),
+)
+
+
+def _labelled() -> tuple[tuple, ...]:
+    """Rows of FIELDS and the label: each part of the table in the surroundings (named, boiler, article, outside) that it speaks of."""
+    boilerplate = [(named, boiler, article, outside) for named, boiler, (article, outside) in product((0, 1, 2), (0, 1), ((1, 0), (0, 1), (0, 0))) if boiler or named == 2 or named and not article]
+    parts = ((IN_ARTICLE, [(0, 0, 1, 0)]), (IN_BOILERPLATE, boilerplate), (WEAKLY_NAMED, [(1, 0, 1, 0)]), (OUTSIDE_THE_ARTICLE, [(0, 0, 0, 1)]), (WITHOUT_ARTICLE, [(0, 0, 0, 0)]))
+    return tuple((*r[:6], *s, *r[6:]) for rows, surroundings in parts for s in surroundings for r in rows)
+
+
+LABELLED = _labelled()
 
 
-def grow(rows: tuple[tuple, ...] = LABELLED, depth: int = 8) -> tuple:
-    """A tree of (field, threshold, below, at least) and leaves True or False, by Gini impurity; ties go to the earlier field."""
+def grow(rows: tuple[tuple, ...] = LABELLED, depth: int = 12) -> tuple:
+    """A tree of (field, threshold, below, at least) and leaves True or False, by Gini impurity; ties go to the earlier field, then to the lower threshold."""
     yes = sum(r[-1] for r in rows)
     if yes in (0, len(rows)) or not depth:
         return (2 * yes >= len(rows),)
     best = None
-    for order, f in enumerate((6, 7, 8, 1, 0, 3, 5, 2, 4, 9)):
+    for f in range(len(FIELDS)):
         values = sorted({r[f] for r in rows})
         for a, b in zip(values, values[1:], strict=False):
             cut = (a + b) / 2
             low, high = [r for r in rows if r[f] < cut], [r for r in rows if r[f] >= cut]
-            impure = sum(2 * (p := sum(r[-1] for r in x)) * (len(x) - p) / len(x) for x in (low, high))
-            if best is None or (impure, order, cut) < best[:3]:
-                best = (impure, order, cut, f, low, high)
+            impure = round(sum(2 * (p := sum(r[-1] for r in x)) * (len(x) - p) / len(x) for x in (low, high)), 9)
+            if best is None or (impure, f, cut) < best[:3]:
+                best = (impure, f, cut, low, high)
     if best is None:
         return (2 * yes >= len(rows),)
-    _, _, cut, f, low, high = best
+    _, f, cut, low, high = best
     return (f, cut, grow(tuple(low), depth - 1), grow(tuple(high), depth - 1))
 
 
@@ -190,13 +288,15 @@ def decide(tree: tuple, row: tuple) -> bool:
 
 
 def main_text(page: str | None, tree: tuple) -> str:
-    """The main blocks of the page, one a line."""
+    """The main blocks of the page, one a line. Where the surroundings change a block has no neighbour: a menu beside an article says nothing of its text."""
     found = blocks(page or "")
     has_article = any(b.article for b in found)
+    sides = [(b.article, b.boiler or b.named == 2) for b in found]
     out = []
     for k, b in enumerate(found):
-        before, after = found[k - 1] if k else None, found[k + 1] if k + 1 < len(found) else None
-        row = (b.words, b.links, before.words if before else 0, before.links if before else 0.0, after.words if after else 0, after.links if after else 0.0, b.boiler, b.article, has_article and not b.article, b.heading)
+        before = found[k - 1] if k and sides[k - 1] == sides[k] else None
+        after = found[k + 1] if k + 1 < len(found) and sides[k + 1] == sides[k] else None
+        row = (b.words, b.links, before.words if before else 0, before.links if before else 0.0, after.words if after else 0, after.links if after else 0.0, b.named, b.boiler, b.article, has_article and not b.article, b.heading)
         if decide(tree, row):
             out.append(b.text)
     return "\n".join(out)

@@ -461,6 +461,105 @@ def test_html_keeps_the_article_alone():
     assert he.main_text(plain, tree) == ("word " * 60).strip() + "\n" + ("text " * 40).strip()
 
 
+def test_html_links_and_neighbours_decide_in_articles_too():
+    tree = he.grow()
+    assert {he.FIELDS[f] for f in tree_fields(tree)} >= {"words", "links", "links_before", "links_after"}
+    prose = "<p>" + "word " * 50 + "</p>"
+    kept = lambda x: he.main_text(f"<nav><a href=1>Home</a></nav><article>{prose}{x}{prose}</article><footer>end</footer>", tree).split("\n")[1:-1]
+    assert kept("<div class='related-work'><p>Earlier studies of this.</p></div><div class='form-of-art'>It is so</div>") == ["Earlier studies of this.", "It is so"]
+    assert kept("<section id='notice'><h2>Notice</h2><p>It was seen by all.</p></section>") == ["Notice", "It was seen by all."]
+    assert kept("<div class='notice'>We changed our terms</div><div class='site-cookie-banner'>Cookies</div><div id=comments><p>Nice, thanks a lot</p></div>") == []
+    assert kept("<ul class=x><li><a href=1>More on this</a></li><li><a href=2>And this</a></li><li><a href=3>And that</a></li></ul>") == []
+    assert kept("<p><a href=2>A source</a></p>") == ["A source"]
+    assert kept("<p>See <a href=1>this</a> one.</p><ul><li>One</li><li>Two</li></ul>") == ["See this one.", "One", "Two"]
+    assert he.main_text("<body><p>Hi there.</p></body>", tree) == "Hi there."
+    assert he.main_text("<h1>T</h1><p>Hi there.</p><p>Bye now friend.</p><p>One more line of text here.</p>", tree).count("\n") == 3
+    assert he.main_text(f"<article><p>Short end.</p></article><div><a href=1>a</a> <a href=2>b</a></div><div>{prose}</div>", tree) == "Short end."
+
+
+def tree_fields(tree):
+    return {tree[0]} | tree_fields(tree[2]) | tree_fields(tree[3]) if len(tree) > 1 else set()
+
+
+def page_of(rng):
+    """A page and its main text: an article, or plain prose, between menus, adverts, side lists, comments and footers."""
+    text = lambda a, b: prose(rng, rng.randint(a, b)).capitalize() + "."
+    links = lambda n: "".join(f"<li><a href='/{k}'>{text(1, 3)}</a></li>" for k in range(n))
+    with_article = rng.random() < 0.6
+    main, parts = [], []
+    for k in range(rng.randint(2, 9)):
+        kind = rng.choice(["p", "p", "p", "h2", "li"] if with_article else ["p", "p", "p"])
+        t = text(1, 6) if kind == "h2" else text(3, 15) if kind == "li" else text(15, 90)
+        main.append(t)
+        parts.append(f"<ul><li>{t}</li></ul>" if kind == "li" else f"<{kind}>{t}</{kind}>")
+        if with_article and rng.random() < 0.2:
+            parts.append(rng.choice([f"<div class='ad-slot'>{text(4, 30)}</div>", f"<aside>{text(4, 30)}</aside>", f"<ul>{links(4)}</ul>", f"<form><label>{text(1, 3)}</label><input></form>"]))
+    body = "".join(parts)
+    if with_article:
+        body = f"<article>{body}</article><section class='comments'><p>{text(5, 60)}</p><p>{text(5, 60)}</p></section>"
+    top = rng.choice([f"<nav><ul>{links(6)}</ul></nav>", f"<div><ul>{links(6)}</ul></div>", f"<header><p>{text(2, 9)}</p></header>"])
+    side = rng.choice(["", f"<div id='sidebar'><h3>{text(1, 3)}</h3><p>{text(10, 40)}</p></div>", f"<div class='cookie-notice'>{text(8, 30)}</div>"])
+    return f"<html><head><title>x</title><style>p{{}}</style></head><body>{top}<div class=\"ad\">{text(3, 20)}</div>{body}{side}<footer>&copy; {text(2, 20)}</footer></body></html>", "\n".join(main)
+
+
+def test_html_extraction_of_labelled_pages():
+    rng, tree, right, said, known = random.Random(41), he.grow(), 0, 0, 0
+    for _ in range(300):
+        page, want = page_of(rng)
+        got, want = he.main_text(page, tree).split("\n"), want.split("\n")
+        right += len(set(got) & set(want))
+        said += len(set(got))
+        known += len(set(want))
+    assert right >= 0.99 * known and right >= 0.99 * said
+
+
+def test_html_blocks_equal_those_of_another_parser():
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.now, self.skip = [], "", 0
+
+        def flush(self):
+            if self.now.split():
+                self.out.append(" ".join(self.now.split()))
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            self.now += " " if tag == "br" else ""
+            self.skip += tag in ("script", "style", "title")
+            if tag in he.BLOCK:
+                self.flush()
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style", "title")
+            if tag in he.BLOCK:
+                self.flush()
+
+        def handle_data(self, data):
+            self.now += "" if self.skip else data
+
+    rng = random.Random(42)
+    for _ in range(200):
+        page = page_of(rng)[0].replace("word", "<b class='x'>&eacute;&amp;</b> a<br>b <!-- <p> --> c")
+        plain = Plain()
+        plain.feed(page)
+        plain.flush()
+        want = [t for t in plain.out]
+        assert [b.text for b in he.blocks(page.replace("<label>", "").replace("</label>", ""))] == want
+
+
+def test_html_of_hostile_pages_is_read_in_linear_time():
+    import time
+
+    tree = he.grow()
+    for page in ("".join(f"<x{i} a=1>" for i in range(40000)) + "</y>" * 40000, '<p a="' * 160000, '<p a="' * 160000 + ">", "<i a=1><p>" * 100000, "<a x='>' " * 100000 + '"', "<!" * 500000, "<!--" * 250000, "<" * 1000000, "<li><a>" * 140000, "<div>" * 200000):
+        began = time.process_time()
+        he.main_text(page, tree)
+        assert time.process_time() - began < 3
+
+
 def test_html_tree_fits_its_table_and_pages(spark):
     tree = he.grow()
     assert all(he.decide(tree, r) == bool(r[-1]) for r in he.LABELLED)
