@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,10 +14,21 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set a local master gets a temporary folder (tests); on a cluster that is an error, since executors would
+    write to their own disks and what is read back would be incomplete.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        found = own.get()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sijill-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="sijill-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        found = "file://" + path
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

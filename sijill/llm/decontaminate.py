@@ -2,11 +2,12 @@
 
 Every n-gram of a test item is a seed if its words, drawn independently at their corpus rates, would stand together rarely
 (``RARE``): a rarity that copies of the item itself cannot spoil, however many there are. An item with few such seeds takes
-its rarest ones. A document that holds a seed is aligned, word by word, with the item around the seed; the local alignment's
+its rarest ones. Two of its other n-grams at about the same offset count as a seed too. A document that holds a seed is aligned, word by word, with the item around the seed; the local alignment's
 score over that of a whole copy is the pair's score. Pairs at ``THRESHOLD`` or more are leaks.
 
-Test items are the query set: they travel to the tasks in blocks of at most ``BLOCK`` items, each block a pass over the
-documents, so what is broadcast is bounded whatever the benchmark's size. Word rates come from all documents.
+Test items are the query set: they travel to the tasks in blocks of about ``BLOCK`` items or ``BLOCK_CHARS`` characters at most, each
+block a pass over the documents, so what is broadcast is bounded whatever the benchmark's size (but for a single item larger
+than that). Word rates come from all documents.
 
 Defined cases: null and empty texts have no words and match nothing; items without words match nothing; an item shorter than
 a seed is found by its whole word sequence; repeated rows (documents or items) give repeated pairs; other columns are not
@@ -19,6 +20,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +34,10 @@ RARE = 1e-9
 LEAST_SEEDS = 12
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-BLOCK = 5000
+#: Words by which the offsets of two common n-grams of an item may differ.
+NEAR = 3
+#: Items, and characters of items, that are sent at once.
+BLOCK, BLOCK_CHARS = 5000, 8_000_000
 
 
 def words(text: str | None) -> list[str]:
@@ -40,30 +45,34 @@ def words(text: str | None) -> list[str]:
 
 
 def smith_waterman(item: list[str], passage: list[str]) -> tuple[int, int, int]:
-    """The best local alignment's score and its place in the passage (start, end exclusive); the earliest of equals."""
-    width = len(passage) + 1
-    above, above_from = [0] * width, list(range(width))
-    best = (0, 0, 0)
+    """The best local alignment's score and its place in the passage (start, end exclusive); of equals the earliest start, then the earliest end.
+
+    A row of the table at a time: a cell holds score * base + (what orders starts), and gaps within a row are a running maximum.
+    """
+    n, ids = len(passage), {w: k for k, w in enumerate(dict.fromkeys(item))}
+    if not n or not item:
+        return 0, 0, 0
+    base = n + 2
+    p = np.fromiter((ids.get(w, -1) for w in passage), dtype=np.int64, count=n)
+    hits = {k: np.where(p == k, MATCH, MISMATCH) * base for k in set(p.tolist()) if k >= 0}
+    none = np.full(n, MISMATCH * base)
+    fresh = base - 1 - np.arange(n + 1, dtype=np.int64)  # score 0, starting here
+    slope = -GAP * base * np.arange(n + 1, dtype=np.int64)
+    above, best, end = fresh, 0, 0
     for w in item:
-        row, row_from = [0] * width, list(range(width))
-        for j in range(1, width):
-            hit = w == passage[j - 1]
-            score, start = above[j - 1] + (MATCH if hit else MISMATCH), above_from[j - 1]
-            if above[j] + GAP > score:
-                score, start = above[j] + GAP, above_from[j]
-            if row[j - 1] + GAP > score:
-                score, start = row[j - 1] + GAP, row_from[j - 1]
-            if score > 0:
-                row[j], row_from[j] = score, start
-                if score > best[0]:
-                    best = (score, start, j)
-        above, above_from = row, row_from
-    return best
-
-
-def seeds_of(items: list[list[str]], rate: dict[str, float], size: int = SEED) -> dict[tuple, list[tuple[int, int]]]:
-    """Seed to its (item, position) places."""
-    out: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+        row = fresh.copy()
+        np.maximum(above[:-1] + hits.get(ids[w], none), above[1:] + GAP * base, out=row[1:])
+        row = np.maximum.accumulate(row + slope) - slope
+        above = np.where(row < base, fresh, row)
+        j = int(above.argmax())
+        if above[j] > best:
+            best, end = int(above[j]), j
+    return (best // base, base - 1 - best % base, end) if best >= base else (0, 0, 0)
+
+
+def seeds_of(items: list[list[str]], rate: dict[str, float], size: int = SEED) -> dict[tuple, list[tuple[int, int, bool]]]:
+    """N-gram to its (item, position) places, and whether it is rare enough to be a seed by itself."""
+    out: dict[tuple, list[tuple[int, int, bool]]] = defaultdict(list)
     for k, w in enumerate(items):
         grams = []
         for i in range(max(1, len(w) - size + 1) if w else 0):
@@ -72,8 +81,7 @@ def seeds_of(items: list[list[str]], rate: dict[str, float], size: int = SEED) -
                 p *= rate.get(x, 0.0)
             grams.append((p, i))
         for order, (p, i) in enumerate(sorted(g for g in grams if g[0] > 0)):  # what the corpus lacks a word of is found nowhere
-            if p <= RARE or order < LEAST_SEEDS:
-                out[tuple(w[i : i + size])].append((k, i))
+            out[tuple(w[i : i + size])].append((k, i, p <= RARE or order < LEAST_SEEDS))
     return dict(out)
 
 
@@ -92,9 +100,18 @@ class Finder:
         if not hits:
             return []
         starts: dict[int, set[int]] = defaultdict(set)
+        common: dict[int, set[int]] = defaultdict(set)
+        places_of: dict[tuple[int, int], set[int]] = defaultdict(set)
         for i, t in hits:
-            for k, at in seeds[t]:
-                starts[k].add(i - at)
+            for k, at, rare in seeds[t]:
+                (starts if rare else common)[k].add(i - at)
+                if not rare:
+                    places_of[k, i - at].add(i)
+        for k, offsets in common.items():
+            own = sorted(offsets)
+            for a, b in zip(own, [*own[1:], None], strict=True):
+                if len(places_of[k, a]) > 1 or b is not None and b - a <= NEAR:
+                    starts[k].add(a)
         out = []
         for k, places in starts.items():
             item, best = self.items[k], (0, 0, 0)
@@ -137,7 +154,8 @@ def word_rates(docs: DataFrame, vocabulary: set[str], text_col: str = "text") ->
 
 def _finders(docs: DataFrame, benchmark: DataFrame, text_col: str, block: int) -> Iterator[tuple]:
     """For each block of test items a broadcast of (ids, word sequences, word rates)."""
-    blocks = max(1, -(-benchmark.count() // block))
+    size = benchmark.agg(F.count("*").alias("items"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size["items"] // block), -(-size["chars"] // BLOCK_CHARS))
     for b in range(blocks):
         own = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         items = sorted(((r["item_id"], words(r["text"])) for r in own.select(F.col("item_id").cast("long").alias("item_id"), "text").collect()), key=str)

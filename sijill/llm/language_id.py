@@ -5,28 +5,31 @@ has; the language that needs fewest phrases, normalised for the length of its au
 entropy). Texts are folded to letters and single blanks and cut into segments of ``SEGMENT`` characters, all of which are
 parsed; segments of many texts walk the automata in step, one numpy operation for each character position.
 
-Fitting reads a bounded sample of labelled rows (``max_docs`` for each language, ``max_chars`` characters of each language's
-text); only rows whose crc32(id) mod 4 is not 2 and that have a language teach. Language, source and id are no inputs of a
+Fitting reads a bounded sample of labelled rows in one pass (``max_docs`` for each language, ``max_chars`` characters of each language's
+text, taken from all over the documents); only rows whose crc32(id) mod 4 is not 2 and that have a language teach. Language, source and id are no inputs of a
 prediction.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without any labelled row all texts are ``und``;
-ties go to the alphabetically first language; repeated rows are predicted row by row; other columns are not looked at.
+ties go to the alphabetically first language; an empty table gives an empty result; repeated rows are predicted row by row; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_rows, read_table
+from .common import map_rows, read_table
 from .toxicity import held_out
 
 UNKNOWN = "und"
 SEGMENT = 512
+#: Places of a labelled document that its share is taken from.
+SLICES = 4
 #: Segments that walk in step.
 BATCH = 4096
 
@@ -54,56 +57,81 @@ class _Letters(dict):
         return self[code]
 
 
-class Automaton:
-    """A suffix automaton as a table: step[state, symbol] is the next state, or 0 where the phrase ends; state 1 is the root."""
-
-    def __init__(self, text: str, symbols: dict[str, int]):
-        nexts: list[dict[int, int]] = [{}, {}]
-        link, length, last = [0, 0], [0, 0], 1
-        for c in text:
-            a = symbols[c]
-            cur = len(nexts)
-            nexts.append({})
-            length.append(length[last] + 1)
-            link.append(1)
-            p = last
-            while p and a not in nexts[p]:
-                nexts[p][a] = cur
-                p = link[p]
-            if p:
-                q = nexts[p][a]
-                if length[p] + 1 == length[q]:
-                    link[cur] = q
-                else:
-                    clone = len(nexts)
-                    nexts.append(dict(nexts[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p and nexts[p].get(a) == q:
-                        nexts[p][a] = clone
-                        p = link[p]
-                    link[q] = link[cur] = clone
-            last = cur
-        self.step = np.zeros((len(nexts), len(symbols) + 1), dtype=np.int32)
-        for s, edges in enumerate(nexts):
-            for a, t in edges.items():
-                self.step[s, a] = t
+def automaton(text: str, symbols: dict[str, int]) -> list[dict[int, int]]:
+    """The suffix automaton of the text: the edges of each state, by symbol. State 1 is the root, state 0 none."""
+    nexts: list[dict[int, int]] = [{}, {}]
+    link, length, last = [0, 0], [0, 0], 1
+    for c in text:
+        a = symbols[c]
+        cur = len(nexts)
+        nexts.append({})
+        length.append(length[last] + 1)
+        link.append(1)
+        p = last
+        while p and a not in nexts[p]:
+            nexts[p][a] = cur
+            p = link[p]
+        if p:
+            q = nexts[p][a]
+            if length[p] + 1 == length[q]:
+                link[cur] = q
+            else:
+                clone = len(nexts)
+                nexts.append(dict(nexts[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p and nexts[p].get(a) == q:
+                    nexts[p][a] = clone
+                    p = link[p]
+                link[q] = link[cur] = clone
+        last = cur
+    return nexts
+
+
+class Rows:
+    """The edges of many states in one array: the edge of state s by symbol a stands at base[s] + a, where ``of`` names its state.
+
+    Rows interleave: each goes to the first of a sequence of random places where its symbols are free, in an array of four
+    places an edge. So the size grows with the number of edges, not with states times symbols, whatever the alphabet.
+    """
+
+    def __init__(self, nexts: list[dict[int, int]], width: int):
+        rng, size = random.Random(1), 4 * sum(map(len, nexts)) + 2 * width
+        taken = bytearray(size)
+        self.base = np.zeros(len(nexts), dtype=np.int32)
+        self.of, self.to = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int32)
+        for s in sorted((s for s, e in enumerate(nexts) if e), key=lambda s: (-len(nexts[s]), s)):
+            b = rng.randrange(size - width)
+            while any(taken[b + a] for a in nexts[s]):
+                b = rng.randrange(size - width)
+            self.base[s] = b
+            for a, t in nexts[s].items():
+                taken[b + a] = 1
+                self.of[b + a], self.to[b + a] = s, t
 
 
 class Parser:
-    """Automata of all languages as one flat table, so that a step of all segments in all languages is one lookup."""
+    """The automata of all languages as one, so that a step of all segments in all languages is a few lookups."""
 
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
         self.symbols = {c: k + 1 for k, c in enumerate(sorted(set("".join(texts.values()))))}
-        tables = [Automaton(texts[x], self.symbols).step for x in self.languages]
-        self.width = len(self.symbols) + 1
-        bases = np.cumsum([0, *(len(t) for t in tables)])
-        self.flat = np.concatenate([np.where(t > 0, (t + b) * self.width, 0).ravel() for t, b in zip(tables, bases, strict=False)]).astype(np.int32) if tables else np.zeros(1, np.int32)
-        self.roots = ((bases[:-1] + 1) * self.width).astype(np.int32)
+        nexts: list[dict[int, int]] = [{}]
+        roots = []
+        for x in self.languages:
+            roots.append(len(nexts) + 1)
+            at = len(nexts)
+            nexts += [{a: t + at for a, t in e.items()} for e in automaton(texts[x], self.symbols)]
+        self.rows = Rows(nexts, len(self.symbols) + 1)
+        self.roots = np.array(roots, dtype=np.int32)
         self.per_phrase = np.array([math.log2(max(2, len(texts[x]))) for x in self.languages])
         self.codes = _Codes(self.symbols)
 
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next states; 0 where there is no edge."""
+        at = self.rows.base.take(state) + symbol
+        return np.where(self.rows.of.take(at) == state, self.rows.to.take(at), 0)
+
     def phrases(self, segments: list[str]) -> np.ndarray:
         """Phrases of each segment in each language. A character that no automaton has is a phrase of its own."""
         order = sorted(range(len(segments)), key=lambda i: -len(segments[i]))
@@ -111,21 +139,21 @@ class Parser:
         grid = np.zeros((len(segments), n[0] if len(n) else 0), dtype=np.int32)
         for row, i in enumerate(order):
             s = segments[i]
-            grid[row, : len(s)] = np.frombuffer(s.translate(self.codes).encode("utf-32-le"), dtype=np.int32)
+            grid[row, : len(s)] = np.frombuffer(s.translate(self.codes).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
         grid = np.ascontiguousarray(grid.T)
         roots = self.roots[:, None]
+        first = np.stack([self.step(np.full(len(self.symbols) + 1, r, dtype=np.int32), np.arange(len(self.symbols) + 1, dtype=np.int32)) for r in self.roots]) if len(self.roots) else None
         state = np.repeat(roots, len(segments), axis=1)
         count = np.ones((len(self.languages), len(segments)), dtype=np.int32)
-        live, flat = len(segments), self.flat
+        live = len(segments)
         for t in range(len(grid)):
             while live and n[live - 1] <= t:
                 live -= 1
             a = grid[t, :live]
-            new = flat.take(state[:, :live] + a)
+            new = self.step(state[:, :live], a)
             ended = new == 0
-            again = flat.take(roots + a)
-            new = np.where(ended, again, new)
             count[:, :live] += ended
+            new = np.where(ended, first[:, a], new)
             np.copyto(state[:, :live], np.where(new == 0, roots, new))
         out = np.empty((len(segments), len(self.languages)), dtype=np.int64)
         out[order] = count.T
@@ -176,24 +204,29 @@ def _parser(texts: tuple[tuple[str, str], ...]) -> Parser:
 
 
 def fit(docs: DataFrame, max_docs: int = 150, max_chars: int = 24_000) -> dict[str, str]:
-    """Language to the text of its automaton: equal shares of each sampled document, spread over it."""
-    known = docs.where(~held_out()).where("doc_id is not null and lang is not null and text is not null")
+    """Language to the text of its automaton: equal shares of about ``max_docs`` ids each, in ``SLICES`` slices spread over the whole document.
+
+    A repeated id gives the least of its texts. What reaches the driver is the slices.
+    """
+    known = docs.where(~held_out()).where("doc_id is not null and lang is not null and text is not null").select("lang", "doc_id", "text")
     n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    out = {}
-    parts = [hash_sample(known.where(F.col("lang") == x), "doc_id", max_docs, c).select("lang", "doc_id", F.substring("text", 1, max_chars).alias("text")).limit(4 * max_docs) for x, c in sorted(n.items())]
-    if not parts:
-        return out
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    if not n:
+        return {}
+    steps = 1 << 30
+    rows = [(x, int(steps * min(1.0, max_docs / c)), max(64, max_chars // min(c, max_docs))) for x, c in sorted(n.items())]
+    told = docs.sparkSession.createDataFrame(rows, "lang string, cut long, each long")
+    some = known.join(F.broadcast(told), "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(steps)) < F.col("cut"))
+    one = some.groupBy("lang", "doc_id").agg(F.min("text").alias("text"), F.first("each").alias("each"))
+    # more than the share, as folding drops characters
+    size = F.ceil(F.col("each") * 1.5 / SLICES).cast("int")
+    starts = [F.floor((F.length("text") - size) * (k / (SLICES - 1))).cast("int") + 1 for k in range(SLICES)]
+    slices = F.when(F.length("text") <= size * SLICES, F.array("text")).otherwise(F.array(*(F.substring(F.col("text"), s, size) for s in starts)))
     by: dict[str, list[str]] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        if s := fold(r["text"]):
-            by.setdefault(r["lang"], []).append(s)
-    for x, texts in by.items():
-        each = max(64, max_chars // len(texts))
-        out[x] = " ".join(s[:each] for s in texts)[:max_chars]
-    return out
+    for r in sorted(one.select("lang", "doc_id", "each", slices.alias("slices")).collect(), key=lambda r: (r["lang"], r["doc_id"])):
+        own = [s for s in map(fold, r["slices"]) if s]
+        if own:
+            by.setdefault(r["lang"], []).append(" ".join(s[: max(1, -(-r["each"] // len(own)))] for s in own))
+    return {x: " ".join(texts)[:max_chars] for x, texts in by.items()}
 
 
 def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

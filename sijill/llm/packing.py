@@ -3,7 +3,9 @@
 Pieces (documents; only longer ones are cut) are dealt to groups of bounded size. Each group runs best-fit decreasing and
 computes lower bounds by dual feasible functions. Where the bound equals the bin count the group is certified: no packing
 of these pieces needs fewer bins. A group with a gap gives up the documents of all bins that are not full, a certified one
-those of its emptiest bin; what was given up is exchanged, grouped anew and packed again, while that saves bins.
+those of its emptiest bin; what was given up is exchanged, grouped anew and packed again, as long as that saves bins (each
+exchange leaves fewer open bins than the one before, so it ends). ``certified`` says of a piece's last group that its bins are
+as few as its bound; ``certificate`` sums bins and bounds up.
 
 Defined cases: a null text is empty and has just the end token; an empty table gives an empty result; repeated rows are
 packed each on its own; the id may be null or repeat (pieces are dealt by their place, not by the id).
@@ -11,6 +13,7 @@ packed each on its own; the id may be null or repeat (pieces are dealt by their
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import re
@@ -22,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +34,6 @@ from .common import SLICE, arrow_schema, read_table, write_table
 CAPACITY = 1024
 END_ID = 2
 GROUP = 4000
-ROUNDS = 4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
 PACKED = f"{PIECES}, sequence_id long, offset long, final boolean, bins long, bound long"
@@ -95,7 +98,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: boo
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, place, end = encoder(path), 0, array("I", [END_ID]).tobytes()
+        own, place, end = encoder(path), TaskContext.get().partitionId() << 40, array("I", [END_ID]).tobytes()
         out = arrow_schema(schema)
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
@@ -166,24 +169,24 @@ def pack_group(lengths: list[int], capacity: int) -> tuple[list[int], list[int],
     return bins, offsets, [b not in given for b in bins], n, bound
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """The pieces with sequence_id and offset, and of their last group the bins and their lower bound."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+    """The pieces with sequence_id and offset, and of their last group the bins, their lower bound and whether they meet."""
 
     def run(key, table):
         g, turn = key[0].as_py(), key[1].as_py()
         bins, offsets, final, n, bound = pack_group(table["length"].to_pylist(), capacity)
-        base = (turn << 56) + (g << 32)
+        base = (turn << 48) + (g << 16)
         cols = [table[c] for c in table.column_names if c in PIECES.replace(",", "").split()]
         return pa.Table.from_arrays([*cols, pa.array([base + b for b in bins], pa.int64()), pa.array(offsets, pa.int64()), pa.array(final), pa.array([n] * len(bins), pa.int64()), pa.array([bound] * len(bins), pa.int64())], schema=arrow_schema(PACKED))
 
     done: list[DataFrame] = []
     left, rows, before = pieces, pieces.count(), math.inf
-    for turn in range(rounds):
+    for turn in itertools.count():
         groups = max(1, -(-rows // group))
         dealt = left.withColumns({"g": F.pmod(F.xxhash64(F.lit(turn), "place", "ids_crc32", "doc_id", "piece"), F.lit(groups)), "turn": F.lit(turn)})
         packed = write_table(dealt.groupBy("g", "turn").applyInArrow(run, PACKED), "packed")
         open_ = packed.where("not final").agg(F.countDistinct("sequence_id").alias("bins"), F.count("*").alias("rows")).first()
-        if turn == rounds - 1 or open_["bins"] <= 1 or groups == 1 or open_["bins"] >= before:
+        if open_["bins"] <= 1 or groups == 1 or open_["bins"] >= before:
             done.append(packed)
             break
         done.append(packed.where("final"))
@@ -191,7 +194,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.drop("final")
+    return out.drop("final").withColumn("certified", F.col("bins") == F.col("bound"))
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: the sequences that packed has, the least that any packing of its pieces needs by their total length, and the gap."""
+    total = packed.agg(F.countDistinct("sequence_id").alias("sequences"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
+    least = F.ceil(F.col("tokens") / capacity).cast("long")
+    return total.select("sequences", least.alias("least"), (F.col("sequences") - least).alias("gap"))
 
 
 def tokenizer_path() -> str:
@@ -206,4 +216,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Data
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bins", "bound")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bins", "bound", "certified")

@@ -9,7 +9,8 @@ Each shard is a BK-tree: children keyed by their integer Hamming distance to the
 within the radius. A tree is bounded by its shard, and the shard's queries are sent to it rather than the trees to every
 executor, since trees of all fingerprints have no size bound. A shard gives one link for each fingerprint at most (to the
 root of its group in the shard), so copies are never expanded into pairs. Shards over ``LARGE`` fingerprints are dealt anew
-by a third level of blocks. Components come from large-star and small-star rounds over the links.
+by a third level of blocks; neither ``LARGE`` nor ``PART`` changes what is found. Components come from large-star and small-star
+rounds over the links.
 
 ``keep_one`` deduplicates near copies proper: texts whose sets of five-word shingles have a similarity (Jaccard) of 0.8 or
 more. Wide fingerprints of ``WIDE`` bits, whose Hamming distance estimates it, are searched within a radius that such texts
@@ -397,16 +398,23 @@ def similar_groups(docs: DataFrame, radius: int = WIDE_RADIUS, id_col: str = "do
 
 
 def keep_one(docs: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """docs with one row of each group of near copies: the one of the least doc_id (null first), then of the least text hash."""
+    """docs with one row of each group of near copies: the one of the least doc_id (null first), then of the least text hash.
+
+    The rows that go are joined to docs, as they are the fewer; rows that are equal in id and text count as one.
+    """
     groups = write_table(similar_groups(docs, radius), "groups")
-    keepers = groups.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    copies = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n")).select(F.col("doc_id").alias("_id2"), F.col("text_hash").alias("_hash2"), "_n")
-    kept = write_table(keepers.join(copies, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))).select("_id", "_hash", "_n"), "kept")
+    keepers = write_table(groups.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("root", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")), "keepers")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    gone = write_table(groups.join(keepers, "root").where(~same).select("doc_id", "text_hash").distinct().select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "gone")
+    again = write_table(groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "again")
     x = docs.select(F.struct("*").alias("_row"), F.xxhash64("text").alias("_h"), F.col("doc_id").cast("long").alias("_d"))
-    x = x.join(kept, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
-    once = x.where("_n = 1").select("_row")
-    more = x.where("_n > 1").groupBy("_id", "_hash").agg(F.first("_row").alias("_row")).select("_row")
-    return once.unionByName(more).select("_row.*") if kept.where("_n > 1").limit(1).count() else once.select("_row.*")
+    named = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))
+    x = x.join(gone, named, "left_anti")
+    if not again.limit(1).count():
+        return x.select("_row.*")
+    once = x.join(again, named, "left_anti").select("_row")
+    more = x.join(again, named, "left_semi").groupBy("_d", "_h").agg(F.first("_row").alias("_row")).select("_row")
+    return once.unionByName(more).select("_row.*")
 
 
 def hex16(fp: Column) -> Column:

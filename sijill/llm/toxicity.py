@@ -247,6 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary:
     seen = map_rows(sample.select("toxic", "fold", "text"), make, "toxic int, evidence double").collect()
     model = counts.model()
     if not seen:
+        model.intercept = math.log(n[1] / n[0])
         return model
     toxic = np.array([r["toxic"] for r in seen])
     rows = {t: max(1, int((toxic == t).sum())) for t in (0, 1)}
