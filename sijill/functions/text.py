@@ -24,8 +24,8 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def nfkc(c: Column) -> Column:
-    """Compatibility normalisation; ASCII text never leaves the JVM's fast path by value."""
-    return _nfkc(c)
+    """Compatibility normalisation. ASCII text is its own normal form: the Arrow function gets null in its place."""
+    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def _or(conditions) -> Column:
@@ -134,8 +134,8 @@ def lexemes(n: Column) -> Column:
     stop = list(dict.fromkeys(map(lx.normal, lx.STOP_LEXEMES)))
 
     def base(t: Column) -> Column:
-        x = F.when((F.length(t) > 4) & F.substring(t, 1, 1).isin(*"وفبكل"), F.substring(t, 2, 1000)).otherwise(t)
-        return F.when(x.startswith("ال") & (F.length(x) > 4), F.substring(x, 3, 1000)).otherwise(x)
+        x = F.when((F.length(t) > 4) & F.substring(t, 1, 1).isin(*"وفبكل"), F.substring(t, F.lit(2), F.length(t))).otherwise(t)
+        return F.when(x.startswith("ال") & (F.length(x) > 4), F.substring(x, F.lit(3), F.length(x))).otherwise(x)
 
     kept = F.filter(F.split(n, " "), lambda t: (F.length(t) > 2) & ~t.isin(*stop))
     return F.array_distinct(F.filter(F.transform(kept, base), lambda t: F.length(t) > 2))
@@ -261,7 +261,7 @@ def scored_pairs(raw: Column) -> Column:
     """S4's candidates: at every colon, both ways round, structs (k, base, bonus, long, title, desc); null without a colon."""
     text = squash(raw)
     at = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)).isin(":", "："))
-    sides = F.transform(at, lambda i: F.struct(F.trim(F.substring(text, F.lit(1), i - 1)).alias("l"), F.trim(F.substring(text, i + 1, F.lit(100000))).alias("r")))
+    sides = F.transform(at, lambda i: F.struct(F.trim(F.substring(text, F.lit(1), i - 1)).alias("l"), F.trim(F.substring(text, i + 1, F.length(text))).alias("r")))
     both = F.flatten(F.transform(sides, lambda s: F.array(F.struct(s["l"].alias("title"), s["r"].alias("desc"), s["l"].alias("l"), s["r"].alias("r")), F.struct(s["r"].alias("title"), s["l"].alias("desc"), s["l"].alias("l"), s["r"].alias("r")))))
     told = F.transform(both, lambda p, k: F.struct(k.alias("k"), p["title"].alias("title"), squash(unbullet(p["title"])).alias("flat"), p["desc"].alias("desc"), norm(p["title"]).alias("tn"), norm(p["desc"]).alias("dn"), norm(p["l"]).alias("ln"), (p["title"] == p["r"]).alias("tail")))
     seen = F.transform(told, lambda p: F.struct(p["k"].alias("k"), p["title"].alias("title"), p["flat"].alias("flat"), p["desc"].alias("desc"), p["tn"].alias("tn"), p["dn"].alias("dn"), ((p["title"] != "") & ~connector_prose(p["tn"]) & ~(p["tail"] & connector_prose(p["ln"]) & ~entity_noun(p["tn"]))).alias("fair")))

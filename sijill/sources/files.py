@@ -57,15 +57,17 @@ def zip_kind(content: pd.Series) -> pd.Series:
 
 def sniff(content: Column) -> Column:
     """B2: the kind that the bytes show; ole for legacy Office, null for other binary data."""
-    head = F.hex(F.substring(content, 1, 8192))
-    pairs = F.regexp_replace(head, "(..)", "$1 ")
-    bom16 = head.rlike("^(FFFE|FEFF)")
-    first = F.regexp_extract(F.substring(pairs, 1, 600), r"^(?:EF BB BF )?(?:FF FE |FE FF )?(?:(?:20|09|0A|0D|0B|0C|00) )*(..)", 1)
+    head = F.substring(content, 1, 8192)
+    text = F.decode(head, "ISO-8859-1")  # a character for each byte
+    magic = F.hex(F.substring(content, 1, 8))
+    bom16 = magic.rlike("^(FFFE|FEFF)")
+    blank = r"[\x20\x09-\x0D\x00]*"
+    begins_json = text.rlike(rf"^(?:\xEF\xBB\xBF)?(?:\xFF\xFE|\xFE\xFF)?{blank}[\[{{]")
     return (
-        F.when(F.contains(F.substring(pairs, 1, 3 * 1024), F.lit("25 50 44 46")), "pdf")
-        .when(head.startswith("504B"), zip_kind(content))
-        .when(head.startswith("D0CF11E0A1B11AE1"), "ole")
-        .when(bom16 | ~F.contains(pairs, F.lit("00 ")), F.when(first.isin("7B", "5B"), "json").otherwise("text"))
+        F.when(F.contains(F.substring(text, 1, 1024), F.lit("%PDF")), "pdf")
+        .when(magic.startswith("504B"), zip_kind(F.when(magic.startswith("504B"), content)))
+        .when(magic == "D0CF11E0A1B11AE1", "ole")
+        .when(bom16 | ~F.contains(text, F.lit("\0")), F.when(begins_json, "json").otherwise("text"))
     )
 
 
