@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +60,35 @@ def keep_where(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("_late", F.rand(0)).where(condition & (F.col("_late") >= 0)).drop("_late")
 
 
+#: Bits of a Sieve: a bound on what it sends, whatever it holds.
+SIEVE = 1 << 23
+
+
+class Sieve:
+    """A set of longs as a bitmap of fixed size: what it lets through may be among them, what it holds back is not.
+
+    So rows that cannot meet a large table need no shuffle; the others are joined exactly.
+    """
+
+    def __init__(self, longs: DataFrame, column: str, bits: int = SIEVE):
+        bit = F.pmod(F.col(column), F.lit(bits))
+        words = longs.select(F.floor(bit / 64).cast("int").alias("word"), F.expr("shiftleft(1L, CAST(pmod(" + column + ", 64L) AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        table = np.zeros(bits // 64, dtype=np.int64)
+        for r in words.collect():
+            table[r["word"]] = r["bits"]
+        self.bits, self.sent = bits, longs.sparkSession.sparkContext.broadcast(table)
+
+    def maybe(self, column: Column) -> Column:
+        bits, sent = self.bits, self.sent
+
+        @F.pandas_udf("boolean")
+        def among(longs: pd.Series) -> pd.Series:
+            b = longs.to_numpy() % bits
+            return pd.Series((sent.value[b >> 6] >> (b & 63)) & 1 == 1)
+
+        return among(column)
+
+
 #: Rows that a Python function sees at once, whatever the size of the Arrow batch.
 SLICE = 256
 

@@ -3,8 +3,8 @@
 Pieces (documents; only longer ones are cut) are dealt to groups of bounded size. Each group runs best-fit decreasing and
 computes lower bounds by dual feasible functions. Where the bound equals the bin count the group is certified: no packing
 of these pieces needs fewer bins. A group with a gap gives up the documents of all bins that are not full, a certified one
-those of its emptiest bin; what was given up is exchanged, grouped anew and packed again, as long as that saves bins (each
-exchange leaves fewer open bins than the one before, so it ends). ``certified`` says of a piece's last group that its bins are
+those of its emptiest bin; what was given up is exchanged, grouped anew and packed again, as long as an exchange saves a
+``GAIN`` of the bins that went into it. ``certified`` says of a piece's last group that its bins are
 as few as its bound; ``certificate`` sums bins and bounds up.
 
 Defined cases: a null text is empty and has just the end token; an empty table gives an empty result; repeated rows are
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import itertools
 import json
-import math
 import re
 import zlib
 from array import array
@@ -34,6 +33,8 @@ from .common import SLICE, arrow_schema, read_table, write_table
 CAPACITY = 1024
 END_ID = 2
 GROUP = 4000
+#: The share of the exchanged bins that an exchange must save for another to follow.
+GAIN = 0.001
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
 PACKED = f"{PIECES}, sequence_id long, offset long, final boolean, bins long, bound long"
@@ -180,17 +181,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
         return pa.Table.from_arrays([*cols, pa.array([base + b for b in bins], pa.int64()), pa.array(offsets, pa.int64()), pa.array(final), pa.array([n] * len(bins), pa.int64()), pa.array([bound] * len(bins), pa.int64())], schema=arrow_schema(PACKED))
 
     done: list[DataFrame] = []
-    left, rows, before = pieces, pieces.count(), math.inf
+    left, rows, before = pieces, pieces.count(), None
     for turn in itertools.count():
         groups = max(1, -(-rows // group))
         dealt = left.withColumns({"g": F.pmod(F.xxhash64(F.lit(turn), "place", "ids_crc32", "doc_id", "piece"), F.lit(groups)), "turn": F.lit(turn)})
         packed = write_table(dealt.groupBy("g", "turn").applyInArrow(run, PACKED), "packed")
-        open_ = packed.where("not final").agg(F.countDistinct("sequence_id").alias("bins"), F.count("*").alias("rows")).first()
-        if open_["bins"] <= 1 or groups == 1 or open_["bins"] >= before:
+        each = packed.groupBy("sequence_id").agg(F.bool_and("final").alias("final"), F.count("*").alias("rows"))
+        got = each.agg(F.count("*").alias("bins"), F.count_if(~F.col("final")).alias("open"), F.sum(F.when(~F.col("final"), F.col("rows"))).alias("rows")).first()
+        if got["open"] <= 1 or groups == 1 or before is not None and before - got["bins"] < GAIN * before:
             done.append(packed)
             break
         done.append(packed.where("final"))
-        left, rows, before = packed.where("not final").select(*pieces.columns), open_["rows"], open_["bins"]
+        left, rows, before = packed.where("not final").select(*pieces.columns), got["rows"], got["open"]
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, arrow_schema, map_rows, read_table, write_table
+from .common import SLICE, Sieve, arrow_schema, map_rows, read_table, write_table
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 LARGE = 2000
@@ -389,7 +389,8 @@ def similar_groups(docs: DataFrame, radius: int = WIDE_RADIUS, id_col: str = "do
     met = own.select("anchor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"), "part", "node", "fp", "anchors")
     found = write_table(_found(met.select("anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "fp", "anchors"), radius), "found")
     texts = write_table(classes.join(found.select("node").distinct(), "node", "left_semi").select("text_hash"), "found-texts")
-    sets = map_rows(x.join(texts, "text_hash", "left_semi").select("text"), make_sets, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    told = x.select("text_hash", "text").where(Sieve(texts, "text_hash").maybe(F.col("text_hash")))
+    sets = map_rows(told.join(texts, "text_hash", "left_semi").select("text"), make_sets, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
     dealt = found.join(sets, "node").select("anchor", "i", "j", "part", "node", "hashes")
     links = _each_meeting(dealt, lambda _, xs, ys: similar_links(xs, ys), "u long, v long")
     found = components(write_table(links.distinct(), "links"))
@@ -407,14 +408,17 @@ def keep_one(docs: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     gone = write_table(groups.join(keepers, "root").where(~same).select("doc_id", "text_hash").distinct().select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "gone")
     again = write_table(groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "again")
-    x = docs.select(F.struct("*").alias("_row"), F.xxhash64("text").alias("_h"), F.col("doc_id").cast("long").alias("_d"))
+    x = docs.select(F.struct("*").alias("_row"), F.xxhash64("text").alias("_h"), F.col("doc_id").cast("long").alias("_d")).withColumn("_k", F.xxhash64("_d", "_h"))
+    touched = Sieve(gone.unionByName(again.select("_id", "_hash")).select(F.xxhash64("_id", "_hash").alias("_k")), "_k").maybe(F.col("_k"))
+    x = x.withColumn("_touched", touched)
     named = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))
-    x = x.join(gone, named, "left_anti")
+    out = x.where("not _touched").select("_row")
+    left = x.where("_touched").join(gone, named, "left_anti")
     if not again.limit(1).count():
-        return x.select("_row.*")
-    once = x.join(again, named, "left_anti").select("_row")
-    more = x.join(again, named, "left_semi").groupBy("_d", "_h").agg(F.first("_row").alias("_row")).select("_row")
-    return once.unionByName(more).select("_row.*")
+        return out.unionByName(left.select("_row")).select("_row.*")
+    once = left.join(again, named, "left_anti").select("_row")
+    more = left.join(again, named, "left_semi").groupBy("_d", "_h").agg(F.first("_row").alias("_row")).select("_row")
+    return out.unionByName(once).unionByName(more).select("_row.*")
 
 
 def hex16(fp: Column) -> Column:

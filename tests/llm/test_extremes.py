@@ -195,3 +195,13 @@ def test_secrets_of_a_hot_id_do_not_fill_the_sample(spark):
     docs = table(spark, ["plain words only"] * 50).withColumn("doc_id", F.lit(1).cast("long"))
     model = ss.fit(docs.unionByName(table(spark, [None, "other words"])), max_docs=2)
     assert model.threshold > 0
+
+
+def test_a_sieve_holds_back_what_is_not_in_it(spark):
+    rng = random.Random(4)
+    inside = [rng.getrandbits(64) - 2**63 for _ in range(500)] + [-1, 0, 2**63 - 1, -(2**63)]
+    other = [rng.getrandbits(64) - 2**63 for _ in range(2000)]
+    s = common.Sieve(spark.createDataFrame([(x,) for x in inside], "k long"), "k", bits=1 << 16)
+    let = {r["k"] for r in spark.createDataFrame([(x,) for x in inside + other], "k long").where(s.maybe(F.col("k"))).collect()}
+    assert set(inside) <= let and len(let & set(other)) < 100
+    assert spark.range(9).where(common.Sieve(spark.range(0).select("id"), "id").maybe(F.col("id"))).count() == 0
