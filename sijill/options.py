@@ -22,6 +22,9 @@ class Options:
     pdf_force_ocr: bool = False
     pdf_min_chars_per_page: int = 40
     max_pdf_pages: int = 200
+    #: Addresses are downloaded, and tools that are there read PDF and legacy Office files.
+    enable_download: bool = True
+    enable_tools: bool = True
 
     @classmethod
     def from_env(cls, env=None) -> Options:

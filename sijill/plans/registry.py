@@ -6,6 +6,7 @@ The tables hold no Arabic; operators whose meaning is Arabic run over inline row
 from __future__ import annotations
 
 import base64
+import hashlib
 import io
 import json
 import zipfile
@@ -20,6 +21,7 @@ from sijill.functions import text as tx
 from sijill.functions import values as vx
 from sijill.operators import documents as docs_
 from sijill.operators import grounding, lines, records, structure
+from sijill.options import Options
 from sijill.plans import pipeline
 from sijill.sources import candidates as cand
 from sijill.sources import files as files_
@@ -138,12 +140,15 @@ def name_predicates(spark, sf_dir):
 CONTEXT_LINES = [("a", k, s) for k, s in enumerate(["Annual Report 2024", "Featured Programs", "Youth Skills", "", "page 3", "Family Support", "Governance", "Board", "Projects", "Water Wells", "Activities", "Open Day", "Contents:", "Index"])]
 
 
-@query("list_context", f"""WITH l AS (SELECT *, {sql_words('n')} AS w FROM (SELECT doc_id, line_no, raw, {sql_norm('raw')} AS n, {sql_flat('raw')} AS flat, {sql_squash('raw')} AS squashed FROM {values(CONTEXT_LINES, 'doc_id, line_no, raw')})),
-e AS (SELECT *, CASE WHEN {ARTIFACT} OR squashed = '' THEN NULL WHEN ({LIST}) IS NOT NULL THEN {LIST} WHEN {MAJOR} THEN '#stop' END AS event FROM l)
-SELECT doc_id, line_no, nullif(last_value(event IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 80 PRECEDING AND 1 PRECEDING), '#stop') AS nearest_type, nullif(last_value(event IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '#stop') AS active_type FROM e""")
+ALL_LINES = f"""every AS (SELECT doc_id::VARCHAR AS doc_id, line_no, raw FROM raw_lines UNION ALL SELECT doc_id, line_no, raw FROM {values(CONTEXT_LINES, 'doc_id, line_no, raw')}),
+l AS (SELECT *, {sql_words('n')} AS w FROM (SELECT doc_id, line_no, raw, {sql_norm('raw')} AS n, {sql_flat('raw')} AS flat, {sql_squash('raw')} AS squashed FROM every)),
+e AS (SELECT *, CASE WHEN {ARTIFACT} OR squashed = '' THEN NULL WHEN ({LIST}) IS NOT NULL THEN {LIST} WHEN {MAJOR} THEN '#stop' END AS event FROM l)"""
+
+
+@query("list_context", f"WITH {LINES}, {ALL_LINES} SELECT doc_id, line_no::INT AS line_no, nullif(last_value(event IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 80 PRECEDING AND 1 PRECEDING), '#stop') AS nearest_type, nullif(last_value(event IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '#stop') AS active_type FROM e")
 def list_context(spark, sf_dir):
-    """P3, P4, S7."""
-    x = spark.createDataFrame(CONTEXT_LINES, "doc_id string, line_no int, raw string")
+    """All documents, and a document with lists."""
+    x = lines.explode_lines(table(spark, sf_dir, "documents"), text="text").select(F.col("doc_id").cast("string"), "line_no", "raw").unionByName(spark.createDataFrame(CONTEXT_LINES, "doc_id string, line_no int, raw string"))
     return lines.contexts(lines.predicates(x)).select("doc_id", "line_no", "nearest_type", "active_type")
 
 
@@ -159,14 +164,20 @@ def name_key(spark, sf_dir):
     return own.unionByName(table(spark, sf_dir, "part").select((F.col("p_partkey") + 100).alias("id"), F.col("p_name").alias("name"))).select("id", tx.name_key(F.col("name")).alias("key"))
 
 
-@query("phrase_match", f"WITH d AS (SELECT doc_id, ' ' || {sql_norm('text')} || ' ' AS n FROM documents), b AS (SELECT item_id, array_to_string(string_split({sql_norm('text')}, ' ')[1:5], ' ') AS phrase FROM benchmark) SELECT doc_id, item_id, phrase FROM d JOIN b ON phrase <> '' AND contains(n, ' ' || phrase || ' ')")
+@query("phrase_match", f"""WITH w AS (SELECT 'd' AS side, doc_id AS id, string_split({sql_norm('text')}, ' ') AS ws FROM documents UNION ALL SELECT 'b', item_id, string_split({sql_norm('text')}, ' ') FROM benchmark),
+g AS (SELECT DISTINCT side, id, array_to_string(ws[i:i + 4], ' ') AS phrase FROM (SELECT side, id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5))
+SELECT d.id AS doc_id, b.id AS item_id, count(*)::BIGINT AS phrases FROM g d JOIN g b ON d.side = 'd' AND b.side = 'b' AND d.phrase = b.phrase GROUP BY ALL""")
 def phrase_match(spark, sf_dir):
-    """The documents that hold a test item's first five words; joined on the phrase's first word, then checked."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split(tx.norm(F.col("text")), " "), 1, 5), " ").alias("phrase")).where("phrase <> ''")
-    d = table(spark, sf_dir, "documents").select("doc_id", tx.norm(F.col("text")).alias("n"))
-    firsts = b.select(F.element_at(F.split("phrase", " "), 1).alias("token"), "item_id", "phrase")
-    pairs = d.select("doc_id", "n", F.explode(F.array_distinct(F.split("n", " "))).alias("token")).join(firsts, "token")
-    return pairs.where(tx.has_phrase(F.col("n"), F.col("phrase"))).select("doc_id", "item_id", "phrase")
+    """How many of the five-word phrases of each test item a document holds: an equi-join of (id, phrase), no text travels."""
+
+    def phrases(x: DataFrame, key: str) -> DataFrame:
+        ws = F.split(tx.norm(F.col("text")), " ")
+        x = x.select(key, ws.alias("ws")).where(F.size("ws") >= 5)
+        at = F.sequence(F.lit(1), F.size("ws") - 4)
+        return x.select(key, F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("ws", i, 5), " ")))).alias("phrase"))
+
+    items, docs = phrases(table(spark, sf_dir, "benchmark"), "item_id"), phrases(table(spark, sf_dir, "documents"), "doc_id")
+    return docs.join(items, "phrase").groupBy("doc_id", "item_id").agg(F.count("*").alias("phrases"))
 
 
 @query("lexeme_overlap", f"""WITH p AS (SELECT p_partkey, list_distinct(list_filter(list_transform(list_filter(string_split({sql_norm('p_name')}, ' '), lambda t: length(t) > 2), lambda t: CASE WHEN length(t) > 4 AND t[1] IN ('و','ف','ب','ك','ل') THEN t[2:] ELSE t END), lambda t: length(t) > 2)) AS l FROM part)
@@ -277,7 +288,12 @@ def truncate_doc(spark, sf_dir):
     return docs_.truncate(d, 1000).select("doc_id", "document", F.size("warnings").alias("warned"))
 
 
-@query("chunk_lines")
+@query("chunk_lines", r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, generate_subscripts(string_split(t, chr(10)), 1) AS line, unnest(string_split(t, chr(10))) AS s FROM d WHERE length(t) > 2000),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, piece) AS k, substr(s, piece * 2000 + 1, 2000) AS s FROM (SELECT *, unnest(range(greatest(1, (length(s) + 1999) // 2000))) AS piece FROM l)),
+r AS (SELECT doc_id, k, 0 AS chunk_no, s AS open FROM p WHERE k = 1 UNION ALL
+SELECT p.doc_id, p.k, r.chunk_no + (length(r.open) + 1 + length(p.s) > 2000)::INT, CASE WHEN length(r.open) + 1 + length(p.s) > 2000 THEN p.s ELSE r.open || chr(10) || p.s END FROM r JOIN p ON p.doc_id = r.doc_id AND p.k = r.k + 1)
+SELECT doc_id, 0 AS chunk_no, t AS text FROM d WHERE length(t) <= 2000 UNION ALL SELECT doc_id, chunk_no, arg_max(open, k) AS text FROM r GROUP BY doc_id, chunk_no""")
 def chunk_lines(spark, sf_dir):
     """D3, D4."""
     return docs_.chunks(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("document")), 2000)
@@ -343,29 +359,94 @@ def answers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ANSWERS, "doc_id string, chunk_no int, raw string, truncated boolean")
 
 
-@query("json_items")
+def document_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer of a model to the first chunk of each document, in four shapes: whole, fenced with a trailing comma, broken off, one value after the other."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    item = F.to_json(F.struct(F.lit("program").alias("type"), F.regexp_extract("text", r"[^\x20\x09-\x0D]+", 0).alias("name"), F.col("text").alias("description")))
+    shape = F.col("doc_id") % 4
+    raw = (
+        F.when(shape == 0, F.concat(F.lit('{"programs": ['), item, F.lit("]}")))
+        .when(shape == 1, F.concat(F.lit("<think>hm [</think>```json\n["), item, F.lit(",]\n```")))
+        .when(shape == 2, F.concat(F.lit('{"programs": ['), item, F.lit(', {"name": "cut')))
+        .otherwise(F.concat(item, F.lit(', {"name": "second", "year": 2020}')))
+    )
+    return d.select(F.col("doc_id").cast("string"), F.lit(0).alias("chunk_no"), raw.alias("raw"), (shape == 2).alias("truncated"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("document"))
+
+
+def part_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report on each part: a list of programs that has the part's name."""
+    text = F.concat(F.lit("Annual Report "), (F.col("p_size") % 20 + 2001).cast("string"), F.lit("\nFeatured Programs\n"), F.initcap("p_name"), F.lit(": Provides practical training for young adults.\nFamily Support\nProvides counseling and referral support for families."))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("doc_id"), text.alias("document"))
+
+
+ITEM_FIELDS = ("type", "name", "year", "description", "beneficiaries_count", "budget", "beneficiary_value", "target_audience", "delivery_method", "notes")
+SAID = [("english", 0, None, "Youth Skills", None, None, None, None, None, None, None, None), ("list", 0, "project", "مسابقة نور", None, None, None, None, None, None, None, None), ("table", 0, "مشروع", "كسوة الشتاء", "2019", None, "300", "15 ألف", None, None, None, None)]
+FIRST_WORD = r"regexp_extract(text, '[^\x20\x09-\x0D]+')"
+NO_MORE = ", ".join(f"NULL::VARCHAR AS {f}" for f in ITEM_FIELDS[4:])
+
+
+@query("json_items", f"""SELECT doc_id, item_no::INT AS item_no, {", ".join(f"{f}::VARCHAR AS {f}" for f in ITEM_FIELDS)} FROM {values(SAID, "doc_id, item_no, " + ", ".join(ITEM_FIELDS))}
+UNION ALL SELECT doc_id::VARCHAR, 0, 'program', {FIRST_WORD}, NULL, text, {NO_MORE} FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id::VARCHAR, 1, NULL, 'second', '2020', NULL, {NO_MORE} FROM documents WHERE text IS NOT NULL AND doc_id % 4 = 3""")
 def items(spark, sf_dir):
-    """F1 to F5, E4."""
-    return cand.items(cand.StaticSource(answers(spark)).generate(docs_.chunks(reports(spark), 35_000), 8192))
+    """F1 to F5, E4, over all documents and the inline reports."""
+    source = cand.StaticSource(answers(spark).unionByName(document_answers(spark, sf_dir)))
+    return cand.items(source.generate(docs_.chunks(documents(spark, sf_dir).unionByName(reports(spark)), 35_000), 8192))
+
+
+FOUND = [
+    ("english", "youthskills", "Youth Skills", "program", 2, 5, None, 0), ("english", "familysupport", "Family Support", "program", 3, 5, None, 1), ("list", "نور", "مسابقة نور", "program", 2, 5, None, 0), ("list", "الرعاية", "برنامج الرعاية", "program", 3, 5, None, 1),
+    ("sections", "السقيا", "برامج السقيا", "program", 0, 5, 1, 0), ("sections", "التعليم", "برامج التعليم", "program", 8, 5, 2, 1), ("sections", "سقياالحجاج", "مبادرة سقيا الحجاج", "project", 2, 4, None, 2), ("sections", "تعليمالكبار", "مشروع تعليم الكبار", "project", 9, 4, None, 3),
+]
+PART_TITLE = "array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
 
 
-@query("discover_structure")
+@query("discover_structure", f"""SELECT doc_id, key, title, type, line_no::INT AS line_no, confidence::INT AS confidence, rank::INT AS rank, ord::INT AS ord FROM {values(FOUND, "doc_id, key, title, type, line_no, confidence, rank, ord")}
+UNION ALL SELECT 'part ' || p_partkey, replace(lower(p_name), ' ', ''), {PART_TITLE}, 'program', 2, 5, NULL, 0 FROM part
+UNION ALL SELECT 'part ' || p_partkey, 'familysupport', 'Family Support', 'program', 3, 5, NULL, 1 FROM part""")
 def discover_structure(spark, sf_dir):
-    """S1 to S11, over all documents and the inline reports."""
-    own = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("document"))
-    return structure.discover(settle(lines.line_table(own.unionByName(reports(spark))), "lines"))
+    """S1 to S11, over all documents (none of which declares an entity), a report on each part and the inline reports."""
+    every = documents(spark, sf_dir).unionByName(part_reports(spark, sf_dir)).unionByName(reports(spark))
+    return structure.discover(settle(lines.line_table(every), "lines"))
+
+
+KEPT = [
+    ("english", 0, "program", "Youth Skills", 2025, "Provides practical training for young adults.", None, None, None, None, None, None), ("english", 1, "program", "Family Support", 2025, "Provides counseling and referral support for families.", None, None, None, None, None, None),
+    ("list", 0, "program", "مسابقة نور", 2024, "مسابقة قرآنية لتشجيع الطلاب على الحفظ والتنافس", None, None, None, None, None, None), ("list", 1, "program", "برنامج الرعاية", 2024, "يقدم جلسات إرشادية للأسر وورش عمل شهرية في المدينة.", None, None, None, None, None, None),
+    ("sections", 0, "program", "برامج السقيا", None, "وصف عام للبرنامج.", None, None, None, None, None, None), ("sections", 1, "program", "برامج التعليم", None, None, None, None, None, "ضيوف الرحمن من الرجال", "ساحات الحرم", None),
+    ("sections", 2, "project", "مبادرة سقيا الحجاج", None, "توزيع عبوات الماء البارد", 1200, None, None, "ضيوف الرحمن من الرجال", "ساحات الحرم", None), ("sections", 3, "project", "مشروع تعليم الكبار", None, None, 45, None, None, None, None, None),
+    ("table", 0, "project", "كسوة الشتاء", None, None, 300, 15000, None, None, None, None),
+]
+NONE_GROUNDED = "NULL, NULL, NULL, NULL, NULL, NULL, 0"
 
 
-@query("ground_records")
+@query("ground_records", f"""SELECT doc_id, item_no::INT AS item_no, type, name, year::INT AS year, description::VARCHAR AS description, beneficiaries_count::DOUBLE AS beneficiaries_count, budget::DOUBLE AS budget, beneficiary_value::VARCHAR AS beneficiary_value, target_audience::VARCHAR AS target_audience, delivery_method::VARCHAR AS delivery_method, notes::VARCHAR AS notes, 0 AS nulled
+FROM {values(KEPT, "doc_id, item_no, " + ", ".join(ITEM_FIELDS))}
+UNION ALL SELECT 'part ' || p_partkey, 0, 'program', {PART_TITLE}, p_size % 20 + 2001, 'Provides practical training for young adults.', {NONE_GROUNDED} FROM part
+UNION ALL SELECT 'part ' || p_partkey, 1, 'program', 'Family Support', p_size % 20 + 2001, 'Provides counseling and referral support for families.', {NONE_GROUNDED} FROM part""")
 def ground_records(spark, sf_dir):
-    """R1 to R20, S10, S12, S13."""
-    return grounding.ground(records.clean_items(items(spark, sf_dir)), reports(spark))[0]
+    """R1 to R20, S10, S12, S13, over a report on each part and the inline reports."""
+    found = cand.items(cand.StaticSource(answers(spark)).generate(docs_.chunks(reports(spark), 35_000), 8192))
+    return grounding.ground(records.clean_items(found), part_reports(spark, sf_dir).unionByName(reports(spark)))[0]
+
+
+@query("ground_documents")
+def ground_documents(spark, sf_dir):
+    """R1 to R20 over all documents, with candidates that name a document's first word: SQL has no such thing."""
+    return grounding.ground(records.clean_items(items(spark, sf_dir)), documents(spark, sf_dir))[0]
 
 
 COLUMNS = [(1, ["مكان التنفيذ الفئة المستهدفة", "مقر الجمعية ، ضيوف الرحمن من", "12 116 الفنادق الرجال والنساء."]), (2, ["الفئة المستهدفة", "الأيتام"]), (3, [])]
 
 
-@query("multicolumn_split")
+SPLIT = [(1, "ضيوف الرحمن من الرجال والنساء.", "مقر الجمعية الفنادق"), (2, None, None), (3, None, None)]
+
+
+@query("multicolumn_split", f"SELECT id, target, delivery FROM {values(SPLIT, 'id, target, delivery')}")
 def multicolumn_split(spark, sf_dir):
     """R11 to R14."""
     return spark.createDataFrame(COLUMNS, "id int, context array<string>").select("id", columns_split.split_columns_udf("context").alias("s")).select("id", "s.target", "s.delivery")
@@ -374,7 +455,10 @@ def multicolumn_split(spark, sf_dir):
 DISPLAYED = [(1, "وتوز يع حلوى العيد"), (2, "تتضمن(:أرًزا مع الدجاج)"), (3, "مبادرة ُسلوان"), (4, "  "), (5, "الحفاوةبالزائرات"), (6, None)]
 
 
-@query("display_clean")
+SHOWN = [(1, "وتوزيع حلوى العيد"), (2, "تتضمن: (أرزًا مع الدجاج)"), (3, "مبادرة سلوان"), (4, None), (5, "الحفاوة بالزائرات"), (6, None)]
+
+
+@query("display_clean", f"SELECT id, text, text AS place FROM {values(SHOWN, 'id, text')}")
 def display_clean(spark, sf_dir):
     """R18, R19."""
     return spark.createDataFrame(DISPLAYED, "id int, x string").select("id", tx.display(F.col("x")).alias("text"), tx.display_delivery(F.col("x")).alias("place"))
@@ -400,20 +484,38 @@ def sample_files() -> list[tuple[str, str | None, str | None, bytes]]:
     return [("docx", "report.docx", None, _zip({"word/document.xml": docx})), ("xlsx", "wrong.docx", None, _zip(xlsx)), ("csv", "a.csv", None, "الاسم;العدد\nتدريب;50\n".encode("cp1256")), ("json", None, "application/json", json.dumps({"a": [1]}).encode()), ("pptx", "deck.pptx", None, _zip({"ppt/presentation.xml": "<x/>"})), ("binary", None, None, b"\x00\x01")]
 
 
-@query("extract_files")
+READ = [
+    ("docx", "تقرير\n===== TABLE START =====\nكفالة | 1200\n===== TABLE END =====", "docx", "docx-xml", None), ("xlsx", "===== SHEET: المشاريع =====\n===== TABLE START =====\nكفالة يتيم | 2024 | | 0.5\n===== TABLE END =====", "xlsx", "xlsx-xml", None),
+    ("csv", "الاسم | العدد\nتدريب | 50", "csv", "text", None), ("json", '{\n"a": [\n1\n]\n}', "json", "text", None),
+    ("pptx", None, "error", None, f"PowerPoint files are not supported. Supported: {lx.SUPPORTED}."), ("binary", None, "error", None, f"Unsupported file type (unknown). Supported: {lx.SUPPORTED}."),
+]
+
+
+@query("extract_files", f"SELECT id, text, kind, method, error FROM {values(READ, 'id, text, kind, method, error')}")
 def extract_files(spark, sf_dir):
     """C3, C5 to C7, C9, C16."""
     f = spark.createDataFrame(sample_files(), "id string, name string, mime_type string, content binary")
     return files_.extract_files(f).select("id", "text", "kind", "method", "error")
 
 
-@query("process_requests")
+DONE = [("list", None, None, None, 2, "مسابقة نور"), ("xlsx", None, 99, hashlib.sha256(READ[1][1].encode()).hexdigest(), None, None), ("table", None, None, None, None, "كسوة الشتاء"), ("empty", "nothing to process: send text or a file", None, None, None, None)]
+
+
+@query("process_requests", rf"""WITH d AS (SELECT doc_id, nullif(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '') AS t, {FIRST_WORD} AS word FROM documents),
+e AS (SELECT *, '===== USER TEXT =====' || chr(10) || t AS document FROM d)
+SELECT job, error, chars::BIGINT AS chars, sha256, n_records::INT AS n_records, first_name FROM {values(DONE, 'job, error, chars, sha256, n_records, first_name')}
+UNION ALL SELECT doc_id::VARCHAR, CASE WHEN t IS NULL THEN 'nothing to process: send text or a file' END, CASE WHEN doc_id % 2 = 0 THEN length(document) END, CASE WHEN doc_id % 2 = 0 THEN sha256(document) END,
+CASE WHEN doc_id % 2 = 1 AND t IS NOT NULL THEN CASE WHEN doc_id % 4 = 3 THEN 2 ELSE 1 END END, CASE WHEN doc_id % 2 = 1 AND t IS NOT NULL THEN word END FROM e""")
 def process_requests(spark, sf_dir):
-    """Envelopes of all three types and bad ones, from intake to results."""
+    """From intake to results. Inline envelopes of all three types and bad ones, grounded; and one for each document, with what a model says of it."""
     b64 = lambda b: base64.b64encode(b).decode()
     jobs = {"list": {"text": REPORTS[0][1]}, "table": {"type": "program_autofill", "input": json.dumps({"files": ["t.txt"]}), "attachments": [b64(REPORTS[2][1].encode())]}, "xlsx": {"type": "extract_text", "files": [{"name": "b.xlsx", "data": b64(sample_files()[1][3])}]}, "empty": {"input": "{}"}}
     raw = spark.createDataFrame([(k, json.dumps(v, ensure_ascii=False)) for k, v in jobs.items()], "job string, raw string")
-    return pipeline.process(raw, cand.StaticSource(answers(spark)))
+    few = pipeline.process(raw, cand.StaticSource(answers(spark)))
+    sent = F.to_json(F.struct("text", F.when(F.col("doc_id") % 2 == 0, "extract_text").otherwise("program_extract").alias("type")))
+    many = pipeline.process(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("job"), sent.alias("raw")), cand.StaticSource(document_answers(spark, sf_dir)), Options(strict_grounding=False))
+    told = lambda path: F.get_json_object("result", path)
+    return few.unionByName(many).select("job", "error", told("$.chars").cast("long").alias("chars"), told("$.sha256").alias("sha256"), F.json_array_length("result").alias("n_records"), F.coalesce(told("$[0].name"), told("$.name")).alias("first_name"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

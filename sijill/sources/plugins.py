@@ -10,6 +10,7 @@ import os
 import shutil
 import subprocess
 import tempfile
+import urllib.request
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -95,16 +96,15 @@ def install() -> list[str]:
 # ---------------------------------------------------------------- addresses
 def download(url: str, limit: int, timeout: float = 60) -> tuple[bytes, str | None]:
     """The body, read in pieces and given up beyond the limit, and the type that the server names."""
-    import requests
-
-    with requests.get(url, timeout=timeout, stream=True) as r:
-        r.raise_for_status()
+    if not url.lower().startswith(("http://", "https://")):
+        raise ValueError("not a web address")
+    with urllib.request.urlopen(url, timeout=timeout) as r:  # noqa: S310  the scheme is checked above
         body = bytearray()
-        for piece in r.iter_content(1 << 20):
+        while piece := r.read(1 << 20):
             body += piece
             if len(body) > limit:
                 raise ValueError("the file is too large")
-        return bytes(body), (r.headers.get("content-type") or "").split(";")[0].strip() or None
+        return bytes(body), (r.headers.get("Content-Type") or "").split(";")[0].strip() or None
 
 
 def fetch(files: DataFrame, fetcher: Callable[[str, int], tuple[bytes, str | None]] = download, options: Options | None = None) -> DataFrame:
@@ -123,11 +123,11 @@ def fetch(files: DataFrame, fetcher: Callable[[str, int], tuple[bytes, str | Non
                     rows.append((None, None, f"download failed: {e}"))
             yield pd.DataFrame(rows, columns=["content", "mime_type", "error"])
 
-    wanted = files.where("url is not null and content is null")
+    wanted = files.where("url is not null and content is null and error is null")
     got = wanted.withColumn("_g", get("url"))
     rest = [c for c in files.columns if c not in ("content", "mime_type", "error")]
     done = got.select(*rest, F.col("_g.content").alias("content"), F.coalesce("mime_type", "_g.mime_type").alias("mime_type"), F.col("_g.error").alias("error"))
-    return done.unionByName(files.where("url is null or content is not null").select(*done.columns))
+    return done.unionByName(files.where("url is null or content is not null or error is not null").select(*done.columns))
 
 
 # ---------------------------------------------------------------- language model

@@ -123,11 +123,11 @@ def header_type(data: Column) -> Column:
     return F.nullif(F.regexp_extract(data, r"^\s*data:([^;,]*)[;,]", 1), F.lit(""))
 
 
-def materialize(requests: DataFrame, options: Options | None = None, key: str = "job") -> DataFrame:
-    """A10: a row for each file: its bytes, or the error that fails its request. Addresses are for a pluggable fetcher (A9), off by default."""
+def materialize(requests: DataFrame, options: Options | None = None, key: str = "job", fetched: bool = False) -> DataFrame:
+    """A10: a row for each file: its bytes, or the error that fails its request. An address is one, unless it will be fetched."""
     o = options or Options()
     x = requests.where("error is null").select(key, F.explode("files").alias("f")).select(key, "f.*")
     x = x.withColumns({"content": F.when(F.col("data").isNotNull(), decode_base64(F.col("data"))), "mime_type": F.coalesce("mime_type", header_type(F.col("data"))), "suffix": safe_suffix(F.col("name"))})
     size = F.length("content")
-    error = F.when(F.col("data").isNotNull() & F.col("content").isNull(), "'data' is not valid base64").when(F.col("data").isNull(), "download failed: no fetcher is set").when(size > o.max_file_bytes, "the file is too large").when(size == 0, "the file is empty")
-    return x.select(key, F.col("index").alias("file_index"), "name", "mime_type", "suffix", "content", error.alias("error"))
+    error = F.when(F.col("data").isNotNull() & F.col("content").isNull(), "'data' is not valid base64").when(F.col("data").isNull() & (F.lit(not fetched) | F.col("url").isNull()), "download failed: no fetcher is set").when(size > o.max_file_bytes, "the file is too large").when(size == 0, "the file is empty")
+    return x.select(key, F.col("index").alias("file_index"), "name", "mime_type", "suffix", "url", "content", error.alias("error"))

@@ -1,8 +1,20 @@
-"""Plug-ins: a fetcher, a model host and the lookup of weights, all with stand-ins."""
+"""Plug-ins: a fetcher, readers that need tools, a model host and the lookup of weights, all with stand-ins."""
+
+import json
+import os
+import sys
+import types
+
+import pytest
+
+from sijill.options import Options
+from sijill.plans import pipeline
 
 from sijill.sources import candidates as cand
 from sijill.sources import files as files_
 from sijill.sources import plugins
+from sijill.sources import requests as req
+from sijill.storage import settle
 
 
 def test_fetch(spark):
@@ -39,3 +51,79 @@ def test_install_and_weights(tmp_path):
     (tmp_path / "models--a--b" / "snapshots" / "x").mkdir(parents=True)
     assert plugins.weights("a/b", cache=str(tmp_path)).rstrip("/").endswith("snapshots/x")
     assert plugins.weights("a/b", (str(tmp_path),)) == "a/b"
+
+
+def test_addresses_and_readers_in_the_pipeline(spark):
+    def fetcher(url, limit):
+        if "bad" in url:
+            raise OSError("no route")
+        return b"a,b\n1,2\n", "text/csv"
+
+    jobs = {"good": {"type": "extract_text", "file_url": "https://x/t.csv"}, "bad": {"type": "extract_text", "files": [{"name": "b.csv", "url": "https://bad/t.csv"}]}, "both": {"type": "extract_text", "text": "own", "files": [{"name": "c.csv", "url": "http://x/c.csv"}]}}
+    raw = spark.createDataFrame([(k, json.dumps(v)) for k, v in jobs.items()], "job string, raw string")
+    source = cand.StaticSource(spark.createDataFrame([], "doc_id string, chunk_no int, raw string, truncated boolean"))
+    got = {r["job"]: (json.loads(r["result"])["text"] if r["result"] else None, r["error"]) for r in pipeline.process(raw, source, fetcher=fetcher).collect()}
+    assert got["good"] == ("a | b\n1 | 2", None)
+    assert got["bad"] == (None, "file #1: download failed: no route")
+    assert got["both"][0].startswith("===== USER TEXT =====\nown") and got["both"][0].endswith("a | b\n1 | 2")
+    off = pipeline.read_documents(settle(req.normalize(raw), "requests"), Options())
+    assert {r["doc_id"]: r["error"] for r in off.collect()}["good"] == "file #1: download failed: no fetcher is set"
+
+
+def test_download_reads_web_addresses_only():
+    with pytest.raises(ValueError, match="web address"):
+        plugins.download("file:///etc/passwd", 10)
+
+
+def test_legacy_word_files_go_through_the_tool_that_is_there(tmp_path, monkeypatch):
+    tool = tmp_path / "antiword"
+    tool.write_text("#!/bin/sh\nprintf 'First  line\\n\\n\\n\\nlast'\n")
+    tool.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:{os.environ['PATH']}")
+    text, method, warnings = plugins.read_doc(b"x", Options())
+    assert (text, method, warnings) == ("First line\n\nlast", "antiword", []) and "doc" in plugins.install()
+    files_.PLUGINS.clear()
+    tool.write_text("#!/bin/sh\nexit 1\n")
+    with pytest.raises(files_.Unsupported):
+        plugins.read_doc(b"x", Options())
+
+
+class Page:
+    def __init__(self, text):
+        self.text = text
+
+    def get_text(self, *_, **__):
+        return self.text
+
+
+class Document(list):
+    needs_pass = False
+    page_count = property(len)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return False
+
+
+def test_pdf_pages_keep_their_layers(monkeypatch):
+    pages = ["first page with more than forty letters of plain text here", "", "third page with more than forty letters of plain text too"]
+    opened = Document(map(Page, pages))
+    monkeypatch.setitem(sys.modules, "pymupdf", types.SimpleNamespace(open=lambda **_: opened))
+    monkeypatch.setenv("PATH", "")
+    text, method, warnings = plugins.read_pdf(b"%PDF", Options())
+    assert text == f"===== PAGE 1 =====\n{pages[0]}\n\n===== PAGE 3 =====\n{pages[2]}" and method == "pdf-text-layer"
+    assert warnings == ["1 page(s) look scanned but OCR is disabled."]
+    opened.needs_pass = True
+    with pytest.raises(files_.Unsupported, match="password"):
+        plugins.read_pdf(b"%PDF", Options())
+
+
+def test_old_spreadsheets(monkeypatch):
+    cell = lambda v, kind=2: types.SimpleNamespace(value=v, ctype=kind)
+    sheet = types.SimpleNamespace(name="S", nrows=2, row=lambda r: [[cell("a", 1), cell(2.0)], [cell("b", 1), cell(0.5)]][r])
+    book = types.SimpleNamespace(datemode=0, sheets=lambda: [sheet])
+    monkeypatch.setitem(sys.modules, "xlrd", types.SimpleNamespace(open_workbook=lambda **_: book, XL_CELL_DATE=3))
+    text, method, _ = plugins.read_xls(b"x", Options())
+    assert text.split("\n")[0] == "===== SHEET: S =====" and "a | 2" in text and "b | 0.5" in text and method == "xlrd"

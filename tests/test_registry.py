@@ -11,8 +11,8 @@ from sijill.streaming import intake
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: These compose the whole engine and have tests of their own.
-COMPOSED = {"ground_records", "process_requests", "discover_structure"}
+#: Has a test of its own.
+COMPOSED = {"ground_documents"}
 
 
 def plain(rows, columns):
@@ -57,7 +57,20 @@ def test_streaming_intake_equals_batch(spark, tmp_path):
 def test_discovery_reads_the_documents(spark, tmp_path):
     text = registry.REPORTS[3][1]
     spark.createDataFrame([(7, text), (8, None), (9, "plain words\n" * 300 + text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "lace plum", 3)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = {}
     for r in registry.queries()["discover_structure"](spark, str(tmp_path)).collect():
         got.setdefault(r["doc_id"], set()).add(r["title"])
-    assert got["7"] == got["9"] == got["english"] and {"Youth Skills", "Family Support"} <= got["7"]
+    assert got["7"] == got["9"] == got["english"] and {"Youth Skills", "Family Support"} <= got["7"] and got["part 1"] == {"Lace Plum", "Family Support"}
+
+
+def test_grounded_documents_say_what_their_texts_say(spark):
+    texts = {str(r["doc_id"]): r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    flat = lambda s: "".join(c for c in (s or "").lower() if c.isalnum())
+    got = registry.queries()["ground_documents"](spark, SF).collect()
+    assert len({r["doc_id"] for r in got}) > 0.9 * len(texts)
+    for r in got:
+        text = flat(texts[r["doc_id"]])
+        assert flat(r["name"]) in text and r["name"] != "second" or "second" in texts[r["doc_id"]].lower()
+        # the text of a section may run over lines that are left out, such as page labels
+        assert all(flat(w) in text for w in (r["description"] or "").split())
