@@ -8,8 +8,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,26 +65,24 @@ SIEVE = 1 << 23
 class Sieve:
     """A set of longs as a bitmap of fixed size: what it lets through may be among them, what it holds back is not.
 
-    So rows that cannot meet a large table need no shuffle; the others are joined exactly.
+    So rows that cannot meet a large table need no shuffle; the others are joined exactly. The bitmap is a table of at most
+    SIEVE / 64 words, which is why it may be broadcast.
     """
 
     def __init__(self, longs: DataFrame, column: str, bits: int = SIEVE):
-        bit = F.pmod(F.col(column), F.lit(bits))
-        words = longs.select(F.floor(bit / 64).cast("int").alias("word"), F.expr("shiftleft(1L, CAST(pmod(" + column + ", 64L) AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-        table = np.zeros(bits // 64, dtype=np.int64)
-        for r in words.collect():
-            table[r["word"]] = r["bits"]
-        self.bits, self.sent = bits, longs.sparkSession.sparkContext.broadcast(table)
-
-    def maybe(self, column: Column) -> Column:
-        bits, sent = self.bits, self.sent
-
-        @F.pandas_udf("boolean")
-        def among(longs: pd.Series) -> pd.Series:
-            b = longs.to_numpy() % bits
-            return pd.Series((sent.value[b >> 6] >> (b & 63)) & 1 == 1)
-
-        return among(column)
+        self.bits = bits
+        key = F.col(column)
+        words = longs.select(self._word(key).alias("_word"), F.expr(f"shiftleft(1L, CAST(pmod({column}, 64L) AS INT))").alias("bit"))
+        self.words = write_table(words.groupBy("_word").agg(F.bit_or("bit").alias("_bits")), "sieve")
+
+    def _word(self, key: Column) -> Column:
+        return F.floor(F.pmod(key, F.lit(self.bits).cast("long")) / 64).cast("int")
+
+    def marked(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """df with a boolean: may the column's value be in the set?"""
+        key = F.col(column)
+        x = df.join(F.broadcast(self.words), self._word(key) == F.col("_word"), "left")
+        return x.withColumn(name, F.coalesce(F.getbit("_bits", F.pmod(key, F.lit(64).cast("long")).cast("int")) == 1, F.lit(False))).drop("_word", "_bits")
 
 
 #: Rows that a Python function sees at once, whatever the size of the Arrow batch.

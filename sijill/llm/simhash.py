@@ -233,8 +233,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 WIDE, WIDE_SHINGLE, ANCHORS, PART = 1024, 5, 4, 256
 #: Bits that fingerprints of similarity 0.8 differ in on average (0.151 of WIDE), and four standard errors more.
 WIDE_RADIUS = 200
-#: Columns of the product that counts what sets share, at once.
-COLUMNS = 4096
+#: Columns of the product that counts what sets share, and elements of sets, at once.
+COLUMNS, HASHES = 4096, 250_000
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -318,14 +318,29 @@ def similar_links(xs: list[tuple[int, bytes]], ys: list[tuple[int, bytes]] | Non
         return x
 
     out, others = [], xs if ys is None else ys
-    for k, i in np.argwhere(similar([x for _, x in xs], None if ys is None else [y for _, y in ys])).tolist():
-        a, b = top(xs[k][0]), top(others[i][0])
-        if a != b:
-            up[a] = b
-            out.append((xs[k][0], others[i][0]))
+    left, right = _blocks(xs), _blocks(others)
+    for p, (a0, a1) in enumerate(left):
+        for b0, b1 in right[p if ys is None else 0 :]:
+            one = ys is None and a0 == b0
+            for k, i in np.argwhere(similar([x for _, x in xs[a0:a1]], None if one else [y for _, y in others[b0:b1]])).tolist():
+                a, b = top(xs[a0 + k][0]), top(others[b0 + i][0])
+                if a != b:
+                    up[a] = b
+                    out.append((xs[a0 + k][0], others[b0 + i][0]))
     return out
 
 
+def _blocks(members: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
+    """Runs of members whose sets have about HASHES elements together, one member at least."""
+    out, start, size = [], 0, 0
+    for k, (_, x) in enumerate(members):
+        if k > start and size + len(x) // 8 > HASHES:
+            out.append((start, k))
+            start, size = k, 0
+        size += len(x) // 8
+    return [*out, (start, len(members))] if members else []
+
+
 def _each_meeting(dealt: DataFrame, f: Callable[[tuple, list[tuple], list[tuple] | None], list[tuple]], schema: str) -> DataFrame:
     """f over the shard parts that meet: (anchor, i, j) and the rest of the rows of part i and part j (none if they are one)."""
 
@@ -389,7 +404,7 @@ def similar_groups(docs: DataFrame, radius: int = WIDE_RADIUS, id_col: str = "do
     met = own.select("anchor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"), "part", "node", "fp", "anchors")
     found = write_table(_found(met.select("anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "fp", "anchors"), radius), "found")
     texts = write_table(classes.join(found.select("node").distinct(), "node", "left_semi").select("text_hash"), "found-texts")
-    told = x.select("text_hash", "text").where(Sieve(texts, "text_hash").maybe(F.col("text_hash")))
+    told = Sieve(texts, "text_hash").marked(x.select("text_hash", "text"), "text_hash", "_found").where("_found")
     sets = map_rows(told.join(texts, "text_hash", "left_semi").select("text"), make_sets, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
     dealt = found.join(sets, "node").select("anchor", "i", "j", "part", "node", "hashes")
     links = _each_meeting(dealt, lambda _, xs, ys: similar_links(xs, ys), "u long, v long")
@@ -409,8 +424,7 @@ def keep_one(docs: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     gone = write_table(groups.join(keepers, "root").where(~same).select("doc_id", "text_hash").distinct().select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "gone")
     again = write_table(groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "again")
     x = docs.select(F.struct("*").alias("_row"), F.xxhash64("text").alias("_h"), F.col("doc_id").cast("long").alias("_d")).withColumn("_k", F.xxhash64("_d", "_h"))
-    touched = Sieve(gone.unionByName(again.select("_id", "_hash")).select(F.xxhash64("_id", "_hash").alias("_k")), "_k").maybe(F.col("_k"))
-    x = x.withColumn("_touched", touched)
+    x = Sieve(gone.unionByName(again.select("_id", "_hash")).select(F.xxhash64("_id", "_hash").alias("_k")), "_k").marked(x, "_k", "_touched")
     named = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))
     out = x.where("not _touched").select("_row")
     left = x.where("_touched").join(gone, named, "left_anti")

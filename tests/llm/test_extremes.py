@@ -202,6 +202,33 @@ def test_a_sieve_holds_back_what_is_not_in_it(spark):
     inside = [rng.getrandbits(64) - 2**63 for _ in range(500)] + [-1, 0, 2**63 - 1, -(2**63)]
     other = [rng.getrandbits(64) - 2**63 for _ in range(2000)]
     s = common.Sieve(spark.createDataFrame([(x,) for x in inside], "k long"), "k", bits=1 << 16)
-    let = {r["k"] for r in spark.createDataFrame([(x,) for x in inside + other], "k long").where(s.maybe(F.col("k"))).collect()}
+    let = {r["k"] for r in s.marked(spark.createDataFrame([(x,) for x in inside + other], "k long"), "k", "in").where("in").collect()}
     assert set(inside) <= let and len(let & set(other)) < 100
-    assert spark.range(9).where(common.Sieve(spark.range(0).select("id"), "id").maybe(F.col("id"))).count() == 0
+    assert common.Sieve(spark.range(0), "id").marked(spark.range(9), "id", "in").where("in").count() == 0
+
+
+def test_similar_links_are_the_same_in_blocks(monkeypatch):
+    rng = random.Random(7)
+    base = [rng.sample(range(10**6), 60) for _ in range(12)]
+    members = []
+    for k in range(90):
+        own = list(base[k % 12])
+        own[: rng.randint(0, 9)] = rng.sample(range(10**6, 2 * 10**6), rng.randint(0, 9))
+        members.append((k, np.unique(np.array(own, dtype=np.uint64)).tobytes()))
+
+    def groups(links):
+        up = {k: k for k in range(90)}
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in links:
+            up[top(a)] = top(b)
+        return sorted(sorted(k for k in up if top(k) == r) for r in {top(k) for k in up})
+
+    whole, cut = simhash.similar_links(members), simhash.similar_links(members[:40], members[40:])
+    monkeypatch.setattr(simhash, "HASHES", 150)
+    assert groups(simhash.similar_links(members)) == groups(whole) and groups(simhash.similar_links(members[:40], members[40:])) == groups(cut)
+    assert 12 <= len(groups(whole)) < 90

@@ -355,6 +355,7 @@ def plain_similarity(x, y):
 def test_similar_groups_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(sh, "PART", 40)
     monkeypatch.setattr(sh, "COLUMNS", 64, raising=False)
+    assert sh._blocks([(k, bytes(8 * n)) for k, n in enumerate((9, sh.HASHES, 1, 2))]) == [(0, 1), (1, 2), (2, 4)] and sh._blocks([]) == []
     rng, texts, want = random.Random(31), [], []
     for t in range(240):
         n = (24, 60, 150, 400, 900)[t % 5]
