@@ -1,13 +1,16 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 Words become their rank in one global order (document frequency in the corpus, rarest first, restricted to the templates'
-vocabulary). A block matches a template when it holds at least ``threshold`` of the template's distinct words. Only blocks
-that pass the prefix filter (one of the template's |T| - need + 1 rarest words), the length filter and the positional filter
-are counted out, and none that matches can fail those. Blocks are overlapping windows of words in two sizes, so a copy of a
-template lies whole in one of them whatever the line breaks. A template whose words all belong to a wider one gives way to it in
+vocabulary). A block matches a template when it holds at least ``threshold`` of the template's distinct words. An inverted
+index from each template's prefix (its |T| - need + 1 rarest words) gives a block the templates that share a prefix word with
+it; the length filter and the positional filter follow, and only what passes is counted out. None that matches can fail those.
+Blocks are overlapping windows of words, half a window apart; a template's half window is at least as long as its text, so a
+copy lies whole in one of them whatever the line breaks. A template whose words all belong to a wider one gives way to it in
 a block that both match, but where the narrower one stands apart: in a window of its own length without the wider one's further
-words, or in what the wider one's own windows leave of the block. OP1_SQL knows no places and lets it give way there too. Templates are a constant of the library, hence bounded; they
-travel as literals and each row is joined where it is read, without a shuffle.
+words, or in what the wider one's own windows leave of the block. OP1_SQL knows no places and lets it give way there too.
+
+Templates are a parameter of the plan, hence bounded; they travel as one literal, whatever their number, and each row is
+joined where it is read, without a shuffle.
 
 Defined cases: a null text is empty: no words, no labels, score 0, null positions; an empty table gives an empty result;
 repeated rows are scanned row by row; columns other than the id and the text are not looked at.
@@ -25,8 +28,8 @@ from .common import read_table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.92
-#: Half a block, in words, for templates of up to so many words.
-SCALES = (16, 64)
+#: Half a block, in words, is a power of STEP and LEAST_HALF at least.
+LEAST_HALF, STEP = 16, 4
 
 #: Phrases whose every place is reported, their labels, and a word of each that few texts hold.
 BASE = (("under the mit license", "mit", "mit"), ("apache license version 2", "apache-2", "apache"), ("cc by nc", "cc-by-nc", "cc"))
@@ -57,7 +60,7 @@ TEMPLATES = (
 
 @dataclass(frozen=True)
 class Template:
-    """A template's words as ranks in the global order, and how many of them a block must hold."""
+    """A template's words as ranks in the global order, how many of them a block must hold, and the words of its text."""
 
     label: str
     ranks: list[int]
@@ -69,6 +72,14 @@ class Template:
         return self.ranks[: len(self.ranks) - self.need + 1]
 
 
+def half_of(length: int) -> int:
+    """Half the block, in words, that a template of this length is looked for in."""
+    half = LEAST_HALF
+    while half < length:
+        half *= STEP
+    return half
+
+
 def words(text: Column) -> Column:
     """Words after lower-casing A-Z. lower() also folds other letters, none of them to a word of the templates but for the Kelvin sign, which is replaced first."""
     return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("ĸ"))), F.lit(WORD), F.lit(0))
@@ -94,12 +105,9 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     sets = [(label, sorted(set(text.split())), len(text.split())) for label, text in templates]
     order = global_order(x, sorted({w for _, s, _ in sets for w in s}))
     rank = {w: k + 1 for k, w in enumerate(order)}
-    by_scale: dict[int, list[Template]] = {s: [] for s in SCALES}
+    by_scale: dict[int, list[Template]] = {}
     for label, s, length in sets:
-        scale = next((h for h in SCALES if len(s) <= h), None)
-        if scale is None:
-            raise ValueError(f"a template may have {SCALES[-1]} distinct words at most")
-        by_scale[scale].append(Template(label, sorted(rank[w] for w in s), math.ceil(threshold * len(s) - 1e-9), length))
+        by_scale.setdefault(half_of(length), []).append(Template(label, sorted(rank[w] for w in s), math.ceil(threshold * len(s) - 1e-9), length))
     prefixes = sorted({r for ts in by_scale.values() for t in ts for r in t.prefix})
 
     x = x.withColumn("n_words", F.size("words").cast("long"))
@@ -109,8 +117,8 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
         "places": F.when(near & F.arrays_overlap("words", _strings([k for _, _, k in BASE])), F.array(*(_places(p) for p, _, _ in BASE))),
     })
     x = x.withColumn("ranks", F.when(F.col("seen"), F.transform("words", lambda w: F.array_position(_strings(order), w).cast("int"))))
-    x = x.withColumns({f"blocks{h}": F.when(F.col("seen"), _blocks(h)) for h in SCALES})
-    x = x.withColumn("found", F.when(F.col("seen"), F.concat(*(_matches(h, t, [b for b in ts if set(t.ranks) < set(b.ranks)]) for h, ts in by_scale.items() for t in ts))))
+    x = x.withColumns({f"blocks{h}": F.when(F.col("seen"), _blocks(h)) for h in by_scale})
+    x = x.withColumn("found", F.when(F.col("seen"), F.concat(*(_matches(h, ts, len(order)) for h, ts in by_scale.items()))))
     flat = F.flatten("places")
     base = F.array_sort(F.array_compact(F.array(*(F.when(F.size(F.get("places", F.lit(k))) > 0, F.lit(label)) for k, (_, label, _) in enumerate(BASE)))))
     x = x.withColumns({"flat": F.coalesce(flat, F.array().cast("array<int>")), "base": base, "own": F.coalesce(F.transform("found", lambda m: m["label"]), F.array().cast("array<string>"))})
@@ -144,41 +152,54 @@ def _places(phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size("words") - 1), here)
 
 
-def _matches(half: int, template: Template, wider: list[Template]) -> Column:
-    """Label and share of each block that holds enough of the template, and not enough of a wider one or the template apart from it."""
-    n = len(template.ranks)
-    t, prefix = F.array(*map(F.lit, template.ranks)), F.array(*map(F.lit, template.prefix))
+def _table(rows: list[list[int]]) -> Column:
+    """A literal array of arrays of ints."""
+    return F.array(*(F.array(*map(F.lit, r)).cast("array<int>") for r in rows))
 
-    def holds(words: Column, other: Template) -> Column:
-        return F.size(F.array_intersect(words, F.array(*map(F.lit, other.ranks)))) >= other.need
 
-    def alone(words: Column) -> Column:
-        out = holds(words, template)
-        for w in wider:
-            out = out & ~holds(words, w)
-        return out
+def _matches(half: int, templates: list[Template], n_ranks: int) -> Column:
+    """Label and share of each template that a block holds enough of, without enough of a wider one or apart from it. Templates are named by place."""
+    ranks, need, length = _table([t.ranks for t in templates]), F.array(*(F.lit(t.need) for t in templates)), F.array(*(F.lit(t.length) for t in templates))
+    label, prefix = F.array(*(F.lit(t.label) for t in templates)), _table([t.prefix for t in templates])
+    index: list[list[int]] = [[] for _ in range(n_ranks)]
+    for k, t in enumerate(templates):
+        for r in t.prefix:
+            index[r - 1].append(k)
+    by_rank = _table(index)
+    above = [[j for j, w in enumerate(templates) if set(t.ranks) < set(w.ranks)] for t in templates]
+    wider, extra = _table(above), _table([sorted({r for j in ws for r in templates[j].ranks} - set(t.ranks)) for t, ws in zip(templates, above, strict=True)])
 
-    def apart(i: Column) -> Column:
+    def holds(words: Column, t: Column) -> Column:
+        return F.size(F.array_intersect(words, F.get(ranks, t))) >= F.get(need, t)
+
+    def alone(words: Column, t: Column) -> Column:
+        return holds(words, t) & ~F.exists(F.get(wider, t), lambda w: holds(words, w))
+
+    def apart(i: Column, t: Column) -> Column:
         raw = F.slice("ranks", i * half + 1, 2 * half)
         starts = F.sequence(F.lit(0), F.size(raw) - 1)
-        window = lambda s, length: F.slice(raw, s + 1, length)
-        extra = F.array(*map(F.lit, sorted({r for w in wider for r in w.ranks} - set(template.ranks))))
-        own = F.exists(starts, lambda s: holds(window(s, template.length), template) & ~F.arrays_overlap(window(s, template.length), extra))
+        window = lambda s, n: F.slice(raw, s + 1, n)
+        own = F.exists(starts, lambda s: holds(window(s, F.get(length, t)), t) & ~F.arrays_overlap(window(s, F.get(length, t)), F.get(extra, t)))
 
-        def places(w: Template) -> Column:
-            return F.transform(F.filter(starts, lambda s: holds(window(s, w.length), w)), lambda s: F.struct(s.alias("a"), (s + w.length).alias("b")))
+        def places(w: Column) -> Column:
+            return F.transform(F.filter(starts, lambda s: holds(window(s, F.get(length, w)), w)), lambda s: F.struct(s.alias("a"), (s + F.get(length, w)).alias("b")))
 
-        taken = F.flatten(F.array(*map(places, wider)))
+        taken = F.flatten(F.transform(F.get(wider, t), places))
         rest = F.filter(raw, lambda r, p: ~F.exists(taken, lambda m: (m["a"] <= p) & (p < m["b"])))
-        return own | alone(rest)
+        return own | alone(rest, t)
+
+    def may(b: Column, t: Column) -> Column:
+        own = F.get(ranks, t)
+        first = F.array_min(F.array_intersect(b, F.get(prefix, t)))
+        left = F.least(F.size(own) - F.array_position(own, first), F.size(b) - F.array_position(b, first)) + 1
+        return (F.size(b) >= F.get(need, t)) & (left >= F.get(need, t)) & holds(b, t)
 
-    def may(b: Column, i: Column) -> Column:
-        first = F.array_min(F.array_intersect(b, prefix))
-        left = F.least(F.lit(n) - F.array_position(t, first), F.size(b) - F.array_position(b, first)) + 1
-        out = (F.size(b) >= template.need) & F.arrays_overlap(b, prefix) & (left >= template.need) & holds(b, template)
-        return out & (alone(b) | apart(i)) if wider else out
+    def found(b: Column, i: Column) -> Column:
+        candidates = F.array_distinct(F.flatten(F.transform(b, lambda r: F.get(by_rank, r - 1))))
+        kept = F.filter(candidates, lambda t: may(b, t) & ((F.size(F.get(wider, t)) == 0) | alone(b, t) | apart(i, t)))
+        return F.transform(kept, lambda t: F.struct(F.get(label, t).alias("label"), (F.size(F.array_intersect(b, F.get(ranks, t))) / F.size(F.get(ranks, t))).alias("share")))
 
-    return F.transform(F.filter(f"blocks{half}", may), lambda b: F.struct(F.lit(template.label).alias("label"), (F.size(F.array_intersect(b, t)) / F.lit(float(n))).alias("share")))
+    return F.flatten(F.transform(f"blocks{half}", found))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,11 +209,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op1_sql() -> str:
     quoted = lambda s: "'" + s + "'"
     rows, sets = [], [set(text.split()) for _, text in TEMPLATES]
-    scale = [next(h for h in SCALES if len(s) <= h) for s in sets]
+    scale = [half_of(len(text.split())) for _, text in TEMPLATES]
     pairs = ", ".join(f"({i}, {j})" for i, a in enumerate(sets) for j, b in enumerate(sets) if a < b and scale[i] == scale[j])
     for k, (label, text) in enumerate(TEMPLATES):
         s = sorted(set(text.split()))
-        rows += [f"({k}, {quoted(label)}, {next(h for h in SCALES if len(s) <= h)}, {len(s)}, {math.ceil(THRESHOLD * len(s) - 1e-9)}, {quoted(w)})" for w in s]
+        rows += [f"({k}, {quoted(label)}, {scale[k]}, {len(s)}, {math.ceil(THRESHOLD * len(s) - 1e-9)}, {quoted(w)})" for w in s]
     phrases = " UNION ALL ".join(f"SELECT doc_id, i, '{label}' AS label FROM pos WHERE " + " AND ".join(f"ws[i + {j + 1}] = '{w}'" for j, w in enumerate(p.split())) for p, label, _ in BASE)
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),

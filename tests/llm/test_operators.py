@@ -68,6 +68,22 @@ def test_narrower_notices_that_stand_apart_are_kept(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_templates_of_any_length_and_number(spark):
+    rng = random.Random(17)
+    whole = " ".join(f"clause{rng.randrange(260)}" for _ in range(700))  # many words stand in it twice
+    many = [(f"l{k}", " ".join(f"t{rng.randrange(900)}" for _ in range(rng.randint(4, 30)))) for k in range(300)]
+    edited = whole.split()
+    for k in range(0, 700, 90):
+        edited[k] = "changed"
+    texts = ["start " * n + " ".join(edited) + " end" * 50 for n in (0, 100, 300, 700, 1000)] + [f"word {many[k][1]} word" for k in (5, 150, 299)] + [whole[: len(whole) // 2], None]
+    got = {r["doc_id"]: r["labels"] for r in ls.license_scan(table(spark, texts), templates=[("long", whole), *many]).collect()}
+    assert all("long" in got[i].split(",") for i in range(5)) and "long" not in got[8] and got[9] == ""
+    for i, k in ((5, 5), (6, 150), (7, 299)):
+        words = set(f"word {many[k][1]} word".split())
+        want = {n for n, t in many if len(set(t.split()) & words) >= np.ceil(ls.THRESHOLD * len(set(t.split())) - 1e-9)}
+        assert f"l{k}" in got[i].split(",") and set(got[i].split(",")) <= want
+
+
 # ------------------------------------------------------------------------------------------------ quality rules
 def plain_statistics(text):
     w = re.findall(qr.WORD, text or "")
