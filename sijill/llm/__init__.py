@@ -19,8 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_html_extract": html_extract.op10_html_extract,
+        "quality_statistics": quality_rules.quality_statistics,
+        "secret_counts": secret_scan.secret_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.OP1_SQL}
+    return {"op1_license_scan": license_scan.OP1_SQL, "quality_statistics": quality_rules.STATISTICS_SQL, "secret_counts": secret_scan.COUNTS_SQL}

@@ -187,3 +187,20 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return scan(docs, fit(docs))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 counts by its fixed patterns, which SQL can express; the models' spans cannot be."""
+    return scan(read_table(spark, sf_dir, "documents"), train([], 400)).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def _counts_sql() -> str:
+    either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    words = "|".join(either(w) for w in ("password", "passwd", "secret", "token")) + "|" + either("api") + "_?" + either("key")
+    quote = "[\"'']?"
+    assign = rf"(?:{words}){quote}\x20*[:=]\x20*{quote}([A-Za-z0-9+/_.=-]+)"
+    count = lambda pattern, group, least: f"len(list_filter(regexp_extract_all(coalesce(text, ''), '{pattern}', {group}), lambda x: length(x) >= {least}))::BIGINT"
+    return f"SELECT doc_id, {count(assign, 1, ASSIGN_MIN)} AS n_assign, {count('AKIA[A-Z0-9]+', 0, 18)} AS n_access, {count('[0-9a-f]+', 0, 16)} AS n_hex FROM documents"
+
+
+COUNTS_SQL = _counts_sql()

@@ -232,3 +232,17 @@ def test_similar_links_are_the_same_in_blocks(monkeypatch):
     monkeypatch.setattr(simhash, "HASHES", 150)
     assert groups(simhash.similar_links(members)) == groups(whole) and groups(simhash.similar_links(members[:40], members[40:])) == groups(cut)
     assert 12 <= len(groups(whole)) < 90
+
+
+def test_base_queries_equal_sql(spark):
+    import duckdb
+
+    from sijill import llm
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for name in ("secret_counts", "quality_statistics"):
+        got = llm.queries()[name](spark, "/root/testdata/sf0.001")
+        want = con.execute(llm.oracle_sql()[name])
+        columns = [c[0] for c in want.description]
+        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())

@@ -37,3 +37,32 @@ def test_stages(spark, tmp_path):
     assert all(seen[3][i] == texts[i] for i in range(60))
     packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(packed.doc_id) == set(seen[3]) and packed.groupby("sequence_id").length.sum().max() <= pk.CAPACITY
+
+
+def test_stages_on_awkward_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, ties, empty texts, clashing extra columns; and empty tables."""
+    rng = random.Random(22)
+    clean = [prose(rng, 90) for _ in range(12)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row string, _h string, root string, node string, words string"
+    more = (None, None, None, 0, "a", "b", "c", "d", "e")
+    rows = [(i, t, "en", "s", 1, "r", "h", "o", "n", "w") for i, t in enumerate(clean)]
+    rows += [rows[0], (0, clean[1] + " other", *rows[0][2:]), (None, clean[2] + " more words", *rows[0][2:]), (None, None, None, None, None, None, None, None, None, None), (50, "", *more[1:]), (51, clean[3], *rows[0][2:])]
+    for name, kept in (("full", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        docs = spark.createDataFrame(kept, schema)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, None if i == 3 else 1, None) for i in [*range(9), None]] if kept else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(0, None), (None, ""), (1, "qq zz")] if kept else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        x, seen = docs, []
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            x = pk.write_table(stage(spark, x, folder), "stage")
+            assert x.columns == docs.columns
+            seen.append(sorted(((r["doc_id"], r["text"]) for r in x.collect()), key=str))
+        packed = corpus_pipeline.run(spark, folder)
+        if not kept:
+            assert seen == [[]] * 4 and packed.count() == 0
+            continue
+        assert len(seen[0]) == 16 and all(t for _, t in seen[0])
+        # the copy of a row, the near copies (of the null id and of id 0) and the exact copy (51) go to the least id, null first
+        assert len(seen[1]) == 12 and (None, clean[2] + " more words") in seen[1] and not any(d in (2, 51) for d, _ in seen[1])
+        assert seen[2] == seen[1] == seen[3] and packed.select("doc_id").distinct().count() == 12 - sum(d == 0 for d, _ in seen[1]) + 1
