@@ -89,25 +89,29 @@ def automaton(text: str, symbols: dict[str, int]) -> list[dict[int, int]]:
 
 
 class Rows:
-    """The edges of many states in one array: the edge of state s by symbol a stands at base[s] + a, where ``of`` names its state.
+    """The edges of many states in one array: a state is named by its place, and its edge by symbol a stands a places after it.
 
-    Rows interleave: each goes to the first of a sequence of random places where its symbols are free, in an array of four
-    places an edge. So the size grows with the number of edges, not with states times symbols, whatever the alphabet.
+    An entry holds the state that it belongs to and the one that it leads to, so a step is one lookup and a comparison. Rows
+    interleave: each goes to the first of a sequence of random places where its symbols are free, in an array of four places
+    an edge. So the size grows with the number of edges, not with states times symbols, whatever the alphabet.
     """
 
     def __init__(self, nexts: list[dict[int, int]], width: int):
-        rng, size = random.Random(1), 4 * sum(map(len, nexts)) + 2 * width
-        taken = bytearray(size)
-        self.base = np.zeros(len(nexts), dtype=np.int32)
-        self.of, self.to = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int32)
-        for s in sorted((s for s, e in enumerate(nexts) if e), key=lambda s: (-len(nexts[s]), s)):
+        rng, size = random.Random(1), 4 * max(len(nexts), sum(map(len, nexts))) + 2 * width
+        taken, named = bytearray(size), bytearray(size)
+        named[0] = 1  # place 0 is no state
+        self.place = [0] * len(nexts)
+        for s in sorted(range(1, len(nexts)), key=lambda s: (-len(nexts[s]), s)):
             b = rng.randrange(size - width)
-            while any(taken[b + a] for a in nexts[s]):
+            while named[b] or any(taken[b + a] for a in nexts[s]):
                 b = rng.randrange(size - width)
-            self.base[s] = b
-            for a, t in nexts[s].items():
+            self.place[s], named[b] = b, 1
+            for a in nexts[s]:
                 taken[b + a] = 1
-                self.of[b + a], self.to[b + a] = s, t
+        self.entries = np.zeros(size, dtype=np.int64)
+        for s, e in enumerate(nexts):
+            for a, t in e.items():
+                self.entries[self.place[s] + a] = self.place[s] << 32 | self.place[t]
 
 
 class Parser:
@@ -123,26 +127,26 @@ class Parser:
             at = len(nexts)
             nexts += [{a: t + at for a, t in e.items()} for e in automaton(texts[x], self.symbols)]
         self.rows = Rows(nexts, len(self.symbols) + 1)
-        self.roots = np.array(roots, dtype=np.int32)
+        self.roots = np.array([self.rows.place[r] for r in roots], dtype=np.int64)
         self.per_phrase = np.array([math.log2(max(2, len(texts[x]))) for x in self.languages])
         self.codes = _Codes(self.symbols)
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The next states; 0 where there is no edge."""
-        at = self.rows.base.take(state) + symbol
-        return np.where(self.rows.of.take(at) == state, self.rows.to.take(at), 0)
+        e = self.rows.entries.take(state + symbol)
+        return np.where(e >> 32 == state, e & 0xFFFFFFFF, 0)
 
     def phrases(self, segments: list[str]) -> np.ndarray:
         """Phrases of each segment in each language. A character that no automaton has is a phrase of its own."""
         order = sorted(range(len(segments)), key=lambda i: -len(segments[i]))
         n = np.array([len(segments[i]) for i in order])
-        grid = np.zeros((len(segments), n[0] if len(n) else 0), dtype=np.int32)
+        grid = np.zeros((len(segments), n[0] if len(n) else 0), dtype=np.int64)
         for row, i in enumerate(order):
             s = segments[i]
             grid[row, : len(s)] = np.frombuffer(s.translate(self.codes).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
         grid = np.ascontiguousarray(grid.T)
         roots = self.roots[:, None]
-        first = np.stack([self.step(np.full(len(self.symbols) + 1, r, dtype=np.int32), np.arange(len(self.symbols) + 1, dtype=np.int32)) for r in self.roots]) if len(self.roots) else None
+        first = np.stack([self.step(np.full(len(self.symbols) + 1, r), np.arange(len(self.symbols) + 1)) for r in self.roots]) if len(self.roots) else None
         state = np.repeat(roots, len(segments), axis=1)
         count = np.ones((len(self.languages), len(segments)), dtype=np.int32)
         live = len(segments)

@@ -77,7 +77,7 @@ def test_a_wide_alphabet_takes_room_by_its_edges_and_parses_as_substring_search_
     wide = "".join(chr(0x4E00 + int(rng.paretovariate(0.5)) % 3000) for _ in range(6000))
     texts = {"wide": wide, "narrow": "".join(rng.choices("abcde ", k=3000))}
     p = li.Parser(texts)
-    assert p.rows.of.nbytes + p.rows.to.nbytes < 4_000_000
+    assert p.rows.entries.nbytes < 4_000_000
     segments = [wide[k : k + 40] for k in range(0, 800, 40)] + ["".join(rng.choices("abcdé ", k=30)) for _ in range(20)] + [wide[5:9] + "ab" + wide[70:75], "\ud800a"]
 
     def plain(text, s):
