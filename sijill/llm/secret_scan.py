@@ -3,8 +3,7 @@
 What the fixed patterns leave of a run of key characters (before, between and after their spans) is a secret when its log-likelihood ratio per character, random model
 against ordinary model, is above a threshold. Both models are first-order over characters with add-one smoothing. They are
 trained from labelled samples: random strings drawn by a seeded generator over the usual key alphabets, and ordinary
-identifiers, which are the words of a bounded sample of the corpus (``max_docs`` ids with one text each, ``max_words`` words) and
-their compounds. The threshold is the one that the held-out ordinary identifiers stay under.
+identifiers, which are the most frequent words of the whole corpus (``max_words``, as the driver holds them) and their compounds. The threshold is the one that the held-out ordinary identifiers stay under.
 
 Defined cases: a null text is empty and has no span; an empty corpus trains the ordinary model on its built-in words alone;
 repeated rows are scanned row by row; other columns are not looked at (``redact`` passes them on).
@@ -94,10 +93,13 @@ def train(words: list[str], n: int = 20_000) -> Model:
     return Model(ratio, 0.0, max([0.0, *held]) + 0.05)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 500, max_words: int = 20_000) -> Model:
-    x = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    some = hash_sample(x, "doc_id", max_docs, x.select("doc_id").count()).groupBy("doc_id").agg(F.min("text").alias("text"))
-    plain = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z]{3,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("word"))
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int | None = None, max_words: int = 20_000) -> Model:
+    """Words are counted over all texts; ``max_docs`` asks for about that many ids with one text each instead, which no query does."""
+    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if max_docs is not None:
+        x = some.where("doc_id is not null")
+        some = hash_sample(x, "doc_id", max_docs, x.count()).groupBy("doc_id").agg(F.min("text").alias("text"))
+    plain = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z]{3,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("word"))
     top = plain.groupBy("word").count().orderBy(F.desc("count"), "word").limit(max_words)
     return train([r["word"] for r in top.collect()])
 
