@@ -36,3 +36,14 @@ def test_long_broken_answers_are_read_in_parts():
     text = '[{"name": "a", "description": "' + 'x\\" {[ ' * 50_000 + '"}, {"name": "cut'
     assert [i["name"] for i in json_items.mended(text, True)] == ["a"]
     assert len(list(json_items._PART.finditer(text))) < 20
+
+
+def test_colons_are_found_without_walking_the_line(spark):
+    texts = ["a: b", ":a", "a:", "a:b：c: d", "::", "é：x : y" * 3, "no colon", "w " * 20_000 + ": tail"]
+    x = spark.createDataFrame([(t,) for t in texts], "raw string")
+    pairs = tx.scored_pairs(F.col("raw"), F.col("raw"))
+    assert "sequence(1, length(" not in x.select(pairs)._jdf.queryExecution().analyzed().toString()
+    for text, found in x.select("raw", pairs.alias("p")).collect():
+        sides = {s for i, c in enumerate(text) if c in ":：" for s in (text[:i].strip(" "), text[i + 1 :].strip(" "))} | {None}
+        assert (found is None) == (not set(text) & set(":：")) and all(p["desc"] in sides for p in found or [])
+    assert len(x.select(pairs.alias("p")).collect()[0]["p"]) == 2
