@@ -63,3 +63,10 @@ def test_the_last_step_is_not_written_out_in_its_own_arguments(spark, monkeypatc
     candidates = spark.createDataFrame(spark.sparkContext.emptyRDD(), f"doc_id string, item_no int, {fields}")
     grounding.ground(candidates, spark.createDataFrame(spark.sparkContext.emptyRDD(), "doc_id string, document string"))
     assert {"sections", "grounded"} <= set(told) and all(after < 2 * before for before, after in told.values())
+
+
+def test_label_rules_fold_a_line_once(spark):
+    """Not once more for each label that is looked for in it."""
+    x = spark.createDataFrame([], "context array<struct<raw:string,norm:string,pipe:boolean,artifact:boolean,hint:boolean>>")
+    two, all_ = (x.select(grounding.label_numbers(F.col("context"), labels))._jdf.queryExecution().analyzed().toString().count("translate(") for labels in (grounding.lx.BENEFICIARY_LABELS[:2], grounding.lx.BENEFICIARY_LABELS))
+    assert len(grounding.lx.BENEFICIARY_LABELS) > 2 and two == all_
